@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_packing",)
+MODULES = ("q_mixing", "q_packing", "q_chat")
 
 
 def _modules():
