@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_toxicity", "q_html", "q_warc", "q_jaccard", "q_substrings", "q_mixing", "q_fingerprints", "q_packing", "q_chat")
+MODULES = ("q_toxicity", "q_pq", "q_html", "q_warc", "q_jaccard", "q_substrings", "q_mixing", "q_fingerprints", "q_packing", "q_chat")
 
 
 def _modules():
