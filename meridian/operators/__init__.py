@@ -1 +1 @@
-
+"""Relational and analytic operators over DataFrames."""
