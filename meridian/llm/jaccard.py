@@ -1,14 +1,15 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of shingles (by hash) is cut into fragments. Two sets alike by t or more differ in at most
-(1 - t) / t of either's size, so of that many fragments and two more at least two are the same in both: each
+(1 - t) / t of either's size, so of that many fragments and one more at least one is the same in both: each
 set announces its largest fragments, that many, and sets that announce the same fragment are candidates.
-(A set too small to have that many announces all it has; it may share one only.)
 A candidate pair's overlap is counted fragment by fragment and the partial counts are summed.
 
 Only components are wanted, so a fragment that many sets announce doesn't make all their pairs: its members
-are first compared with one leader each, in rounds; only sets that are still in different components are
-compared pair by pair, and where many of them share a fragment only those that share a second one as well.
+are first compared with one leader each, in rounds. Sets that are still in different components are compared
+by outlines (a byte of hash and one of size for every fragment), which bound from below how much two sets
+differ; only pairs that the outlines can't tell apart have their overlap counted. Outlines of a fragment's
+members meet in blocks: those outside the leader's component with each other and with all others.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from meridian.llm.components import components
 from meridian.llm.substrings import NULL_ID, _stretches
 from meridian.llm.words import Words, mix
 
-#: A fragment announced by more sets than this, still in different components, must be shared with a second one.
-MANY = 48
+#: Up to this many members of a fragment pair up by a join; more meet in blocks of at most ``BLOCK``.
+FEW, BLOCK = 12, 512
 #: Rounds in which members are compared with leaders only.
 ROUNDS = 2
 #: Parts in which overlaps are counted.
@@ -76,16 +77,43 @@ def _octaves(size: int, t: float) -> list[int]:
     return [k] + ([k - 1] if k and math.floor(size * t) < 1 << k else [])
 
 
-def _announce(hashes: np.ndarray, k: int, t: float) -> np.ndarray:
-    """Signatures of a set's largest fragments in size class k, two more than can differ where it has as many."""
-    differ = math.floor(len(hashes) * (1 - t) / t + 1e-9)
-    fragments = math.floor((1 << k + 1) / t * (1 - t) / t + 1e-9) + 2
+def _cut(hashes: np.ndarray, k: int, t: float) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of the global order in size class k: how many, and of those that a set has, place, size and content hash."""
+    fragments = math.floor((1 << k + 1) / t * (1 - t) / t + 1e-9) + 1
     place = ((hashes >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    sizes = np.diff(np.append(start, len(hashes)))
-    sums = np.add.reduceat(mix(hashes), start)
-    most = np.lexsort((place[start], sizes))[::-1][: differ + 2]
-    return mix(sums[most] + mix(place[start][most].astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+    return fragments, place[start], np.diff(np.append(start, len(hashes))), np.add.reduceat(mix(hashes), start)
+
+
+def _announce(hashes: np.ndarray, k: int, t: float) -> np.ndarray:
+    """Signatures of a set's largest fragments in size class k, one more than can differ."""
+    _, place, sizes, sums = _cut(hashes, k, t)
+    most = np.lexsort((place, sizes))[::-1][: math.floor(len(hashes) * (1 - t) / t + 1e-9) + 1]
+    return mix(sums[most] + mix(place[most].astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+
+
+def _outline(hashes: np.ndarray, k: int, t: float) -> bytes:
+    """A byte of hash and a byte of size for every fragment; zeros where the set has none."""
+    fragments, place, sizes, sums = _cut(hashes, k, t)
+    out = np.zeros((2, fragments), dtype=np.uint8)
+    out[0, place] = mix(sums) % np.uint64(255) + np.uint64(1)
+    out[1, place] = np.minimum(sizes, 255)
+    return out.tobytes()
+
+
+def _least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For outlines a (m, 2, f) and b (n, 2, f): a lower bound of the symmetric differences, (m, n).
+
+    Fragments with different hashes differ by their sizes' difference, or by two where the sizes are equal."""
+    out = np.empty((len(a), len(b)), dtype=np.int64)
+    step = max(1, (8 << 20) // max(1, len(b) * a.shape[2]))
+    for i in range(0, len(a), step):
+        part = a[i : i + step]
+        gap = np.abs(part[:, None, 1].astype(np.int16) - b[None, :, 1].astype(np.int16)).astype(np.uint8)
+        gap[gap == 0] = 2
+        gap[part[:, None, 0] == b[None, :, 0]] = 0
+        out[i : i + step] = gap.sum(2, dtype=np.int64)
+    return out
 
 
 def _announced(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
@@ -108,9 +136,7 @@ def _announced(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
                     continue
                 sets.append((identity[0], int(ids[i]), len(mine)))
                 for k in _octaves(len(mine), t):
-                    told = _announce(mine, k, t)
-                    weak = len(told) < math.floor(len(mine) * (1 - t) / t + 1e-9) + 2
-                    found.append((told, ids[i], 2 * len(mine) + weak))
+                    found.append((_announce(mine, k, t), ids[i], len(mine) << 6 | k))
             if sets:
                 h, d, s = zip(*sets, strict=True)
                 yield pack(np.array(h, np.uint64), np.array(d, np.int64), np.array(s, np.int64), _SET, bits)
@@ -124,22 +150,22 @@ def _announced(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
 
 
 def _met(packed: DataFrame) -> DataFrame:
-    """kind, key, doc, size, leader, weak: equal sets as links (leader, doc), and announcements that more than one set makes."""
+    """kind, key, doc, size, leader, octave: equal sets as links (leader, doc), and announcements that more than one set makes."""
 
-    def rows(kind: int, key: np.ndarray, doc: np.ndarray, size: np.ndarray, leader: np.ndarray, leader_size: np.ndarray, weak: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(size), pa.array(leader), pa.array(leader_size), pa.array(weak)], ["kind", "key", "doc", "size", "leader", "leader_size", "weak"])
+    def rows(kind: int, key: np.ndarray, doc: np.ndarray, size: np.ndarray, leader: np.ndarray, leader_size: np.ndarray, octave: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(size), pa.array(leader), pa.array(leader_size), pa.array(octave.astype(np.int32))], ["kind", "key", "doc", "size", "leader", "leader_size", "octave"])
 
     def work(hashes, docs, places, kinds) -> Iterator[pa.RecordBatch]:
         which = kinds == _SAME
         if which.any():
-            yield rows(_SAME, hashes[which], docs[which], places[which], _unmix(hashes[which]).view(np.int64), places[which], places[which] > 0)
+            yield rows(_SAME, hashes[which], docs[which], places[which], _unmix(hashes[which]).view(np.int64), places[which], places[which])
         for kind in (_SET, _FRAGMENT):
             which = kinds == kind
             h, d, s = hashes[which], docs[which], places[which]
             order = np.lexsort((d, s if kind == _SET else d, h))
             h, d, s = h[order], d[order], s[order]
-            weak = s % 2 == 1 if kind == _FRAGMENT else np.zeros(len(s), bool)
-            s = s // 2 if kind == _FRAGMENT else s
+            octave = s % 64
+            s = s // 64 if kind == _FRAGMENT else s
             if not len(h):
                 continue
             head = np.concatenate([[True], (h[1:] != h[:-1]) | ((s[1:] != s[:-1]) if kind == _SET else False)])
@@ -147,13 +173,15 @@ def _met(packed: DataFrame) -> DataFrame:
             many = np.bincount(group)[group] > 1
             take = many & ~head if kind == _SET else many
             if take.any():
-                yield rows(_SAME if kind == _SET else _FRAGMENT, h[take], d[take], s[take], d[start][group][take], s[start][group][take], weak[take])
+                yield rows(_SAME if kind == _SET else _FRAGMENT, h[take], d[take], s[take], d[start][group][take], s[start][group][take], octave[take])
 
-    return by_bucket(packed, work, "kind int, key long, doc long, size long, leader long, leader_size long, weak boolean")
+    return by_bucket(packed, work, "kind int, key long, doc long, size long, leader long, leader_size long, octave int")
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """doc, part, size, hashes: the sets of ``wanted`` documents, cut into parts of the global order."""
+def _sets(rows: DataFrame, wanted: DataFrame, n: int, t: float) -> DataFrame:
+    """doc, part, size, hashes: the sets of ``wanted`` documents, cut into parts of the global order.
+
+    Part -1 - k holds the outline in size class k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _stretches(batches, 1):
@@ -163,6 +191,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 mine = hashes[at : at + size]
                 cut = np.searchsorted(mine, np.arange(PARTS + 1, dtype=np.float64)[1:-1] * 2.0 ** (64 - int(math.log2(PARTS))))
                 out += [(doc, i, size, x.tobytes()) for i, x in enumerate(np.split(mine, cut)) if size]
+                out += [(doc, -1 - k, size, _outline(mine, k, t)) for k in (_octaves(size, t) if size else ())]
                 at += size
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc", "part", "size", "hashes"])
@@ -200,26 +229,28 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     gives no rows."""
     t = percent / 100
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    met = materialise(_met(_announced(rows, n, t, bucket_bits(docs))), "met")
+    named = rows.where(F.col("doc") != NULL_ID)
+    met = materialise(_met(_announced(named, n, t, bucket_bits(docs))), "met")
     links = met.where(F.col("kind") == _SAME).select(F.col("leader").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    fragments = met.where(F.col("kind") == _FRAGMENT).select("key", "doc", "size", "leader", "leader_size", "weak")
-    sets = materialise(_sets(rows, fragments.select("doc").distinct(), n), "sets")
+    fragments = met.where(F.col("kind") == _FRAGMENT).select("key", "doc", "size", "leader", "leader_size", "octave")
+    stored = materialise(_sets(named, fragments.select("doc").distinct(), n, t), "sets")
+    sets, outlines = stored.where("part >= 0"), stored.where("part < 0").select("doc", (-1 - F.col("part")).alias("octave"), F.col("hashes").alias("outline"))
     # the leader that shares most fragments with a set
     first = fragments.where((F.col("doc") != F.col("leader")) & _comparable("size", "leader_size", percent)).groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("doc").alias("b"))
     links = materialise(links.unionByName(_alike(first, sets, percent)), "links")
     known = materialise(components(links), "components")
-    members = fragments.select("key", "doc", "size", "weak")
+    members = fragments.select("key", "doc", "size", "octave")
     for round_ in range(1, ROUNDS + 2):
         now = members.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), F.max_by(F.struct("doc", "size", "component"), F.xxhash64("doc", F.lit(round_))).alias("lead")).where("least < most").drop("least", "most")
         now = materialise(now.join(mixed, "key"), "mixed")
-        members = now.select("key", "doc", "size", "weak")
+        members = now.select("key", "doc", "size", "octave")
         if round_ <= ROUNDS:
             pairs = now.where(F.col("component") != F.col("lead.component")).where(_comparable("size", "lead.size", percent)).select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
             # one pair a set and round: where it shares most fragments
             pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
         else:
-            pairs = _remaining(now, percent)
+            pairs = _remaining(now, outlines, percent)
         found = materialise(_alike(pairs, sets, percent), "links")
         if found.isEmpty():
             continue
@@ -236,15 +267,77 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select(F.when(own, F.col("doc")).alias("doc_id"), "n_shingles", F.when(own, F.coalesce("component", "doc")).alias("component_id"))
 
 
-def _remaining(now: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components that share a fragment; of fragments with many members, that share two."""
+def _possible(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with so many elements together, that differ by so many at least, can be alike."""
+    return differ * (100 + percent) <= (100 - percent) * sizes
+
+
+def _outlines(column) -> np.ndarray:
+    data = [x.as_py() if isinstance(x, pa.Scalar) else x for x in column]
+    return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), 2, -1)
+
 
-    def across(rows: DataFrame, key: list[str]) -> DataFrame:
-        left = rows.select(*key, F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-        right = rows.select(*key, F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-        return left.join(right, key).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).select("a", "b").distinct()
+def _remaining(now: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share a fragment and that their outlines can't tell apart."""
+    few, many = now.where(F.col("n") <= FEW), now.where(F.col("n") > FEW)
+    left, right = (few.select("key", "octave", F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
+    pairs = left.join(right, ["key", "octave"]).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).groupBy("a", "b").agg(F.min("octave").alias("octave"), F.max(F.col("size_a") + F.col("size_b")).alias("sizes"))
+    pairs = pairs.join(outlines.select(F.col("doc").alias("a"), "octave", F.col("outline").alias("outline_a")), ["a", "octave"]).join(outlines.select(F.col("doc").alias("b"), "octave", F.col("outline").alias("outline_b")), ["b", "octave"])
 
-    few, many = now.where(F.col("n") <= MANY), now.where(F.col("n") > MANY)
-    second = many.select("key", "doc", "size", "component").join(now.select(F.col("key").alias("key_2"), "doc"), "doc").where("key_2 <> key").select(F.least("key", "key_2").alias("key"), F.greatest("key", "key_2").alias("key_2"), "doc", "size", "component").distinct()
-    # two sets that announce all they have may share one fragment only; they have a few words each
-    return across(few, ["key"]).unionByName(across(second, ["key", "key_2"])).unionByName(across(many.where("weak"), ["key"])).distinct()
+    def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.array([_least_difference(_outlines([x]), _outlines([y]))[0, 0] for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.int64)
+            keep = pa.array(_possible(differ, batch.column(2).to_numpy(), percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+    found = pairs.select("a", "b", "sizes", "outline_a", "outline_b").mapInArrow(by_pair, "a long, b long")
+    return found.unionByName(_in_blocks(many, outlines, percent)).distinct()
+
+
+def _in_blocks(many: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The same for fragments with many members: tasks compare two blocks of outlines each."""
+    outside = F.col("component") != F.col("lead.component")
+    counts = many.groupBy("key").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("p"), F.ceil(F.count_if(~outside) / BLOCK).cast("int").alias("q"))
+    rows = many.join(counts, "key").where("p > 0").join(outlines, ["doc", "octave"])
+    block = F.pmod(F.xxhash64("doc"), F.when(outside, F.col("p")).otherwise(F.col("q"))).cast("int")
+    rows = rows.withColumn("block", block)
+    apart = rows.where(outside).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)))
+    inner = F.col("other") < F.col("p")
+    apart = apart.select("key", F.when(inner, F.least("block", "other")).otherwise(F.col("block")).alias("i"), F.when(inner, F.greatest("block", "other")).otherwise(F.col("other")).alias("j"), F.col("block").alias("mine"), "doc", "size", "component", "outline")
+    others = rows.where(~outside).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", "i", (F.col("p") + F.col("block")).alias("j"), (F.col("p") + F.col("block")).alias("mine"), "doc", "size", "component", "outline")
+
+    def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        i, j, mine = table["i"][0].as_py(), table["j"][0].as_py(), table["mine"].to_numpy()
+        docs, sizes, parts = table["doc"].to_numpy(), table["size"].to_numpy(), table["component"].to_numpy()
+        first, second = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        if not len(first) or not len(second):
+            return
+        outline = _outlines(table["outline"].to_pylist())
+        sums = sizes[first][:, None] + sizes[second][None, :]
+        good = _possible(_least_difference(outline[first], outline[second]), sums, percent) & (parts[first][:, None] != parts[second][None, :])
+        a, b = np.nonzero(np.triu(good, 1) if i == j else good)
+        if len(a):
+            a, b = docs[first[a]], docs[second[b]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            at = 0
+            while at < len(keys):
+                stop = at + 1
+                while stop < len(keys) and keys[stop] == keys[at]:
+                    stop += 1
+                if keys[at] != current and held:
+                    yield from compare(held)
+                    held = []
+                current = keys[at]
+                held.append(batch.slice(at, stop - at))
+                at = stop
+        if held:
+            yield from compare(held)
+
+    return apart.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
