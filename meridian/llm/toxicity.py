@@ -198,23 +198,29 @@ def _choose(model: Model, labelled: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model | None, columns: list[str] | None = None, keep_below: float | None = None) -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``toxic_ratio`` (the most toxic stretch's mean log ratio) after ``columns``.
 
-    keep_below: leaves out rows that score this or more. A null or empty text has the ratio 0 of no evidence,
+    keep_below: leaves out rows that score this or more and adds no columns. A null or empty text has the ratio 0 of no evidence,
     so a score below a half unless the threshold is below 0; without a model every score is 0. One narrow
     pass; the model, bounded by ``MAX_ENTRIES``, is sent round once."""
     columns = columns if columns is not None else docs.columns
-    rows = docs.select(*[docs[c] for c in columns], F.col("text").cast("string").alias("_text"))
+    hidden = "_text"
+    while hidden in columns:
+        hidden += "_"
+    found = [] if keep_below is not None else ["toxicity", "toxic_ratio"]
+    rows = docs.select(*[docs[c] for c in columns], F.col("text").cast("string").alias(hidden))
     if model is None:
-        return rows.drop("_text").withColumns({"toxicity": F.lit(0.0), "toxic_ratio": F.lit(0.0)})
+        return rows.drop(hidden).withColumns({c: F.lit(0.0) for c in found})
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rows.drop("_text").withColumns({"toxicity": F.lit(0.0), "toxic_ratio": F.lit(0.0)}).schema
+    schema = rows.drop(hidden).withColumns({c: F.lit(0.0) for c in found}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             ratio = np.concatenate([_ratio(part, known) for part in _parts(batch.column(batch.num_columns - 1))]) if len(batch) else np.empty(0)
             value = 1 / (1 + np.exp(-np.clip(known.slope * (ratio - known.threshold), -500, 500)))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value), pa.array(ratio)], schema.names)
-            yield out if keep_below is None else out.filter(pa.array(value < keep_below))
+            if keep_below is None:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value), pa.array(ratio)], schema.names)
+            else:
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names).filter(pa.array(value < keep_below))
 
     return rows.mapInArrow(run, schema)
 
