@@ -30,6 +30,8 @@ from meridian.llm.words import Words, mix
 
 #: Up to this many members of a fragment pair up by a join; more meet in blocks of at most ``BLOCK``.
 FEW, BLOCK = 12, 512
+#: Ids that may be sent to every executor: 32 MB of them.
+SENT_IDS = 4_000_000
 #: Rounds in which members are compared with leaders only.
 ROUNDS = 2
 #: Parts in which overlaps are counted.
@@ -200,7 +202,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int, t: float) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; distinct) that are alike: partial overlaps by part, summed per pair."""
+    """Those of ``pairs`` (a, b; distinct) that are alike: partial overlaps by part, summed per pair.
+
+    Where the documents in pairs are few enough to send their ids round, only their sets move."""
+    pairs = materialise(pairs, "pairs")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    if wanted.count() <= SENT_IDS:
+        sets = sets.join(F.broadcast(wanted), "doc", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,10 +242,10 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = met.where(F.col("kind") == _SAME).select(F.col("leader").alias("a"), F.col("doc").alias("b")).where("a <> b")
     fragments = met.where(F.col("kind") == _FRAGMENT).select("key", "doc", "size", "leader", "leader_size", "octave")
     stored = materialise(_sets(named, fragments.select("doc").distinct(), n, t), "sets")
-    sets, outlines = stored.where("part >= 0"), stored.where("part < 0").select("doc", (-1 - F.col("part")).alias("octave"), F.col("hashes").alias("outline"))
+    sets, outlines = stored.where("part >= 0"), stored.where("part < 0").select("doc", (-1 - F.col("part")).alias("octave"), F.col("size").alias("outlined"), F.col("hashes").alias("outline"))
     # the leader that shares most fragments with a set
-    first = fragments.where((F.col("doc") != F.col("leader")) & _comparable("size", "leader_size", percent)).groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("doc").alias("b"))
-    links = materialise(links.unionByName(_alike(first, sets, percent)), "links")
+    first = fragments.where((F.col("doc") != F.col("leader")) & _comparable("size", "leader_size", percent)).groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n"), F.min("octave").alias("octave")).groupBy("doc").agg(F.max_by(F.struct("leader", "octave"), F.struct("n", -F.col("leader"))).alias("s")).select(F.col("s.leader").alias("a"), F.col("doc").alias("b"), "s.octave")
+    links = materialise(links.unionByName(_alike(_told_apart(first, outlines, percent), sets, percent)), "links")
     known = materialise(components(links), "components")
     members = fragments.select("key", "doc", "size", "octave")
     for round_ in range(1, ROUNDS + 2):
@@ -246,9 +254,10 @@ def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         now = materialise(now.join(mixed, "key"), "mixed")
         members = now.select("key", "doc", "size", "octave")
         if round_ <= ROUNDS:
-            pairs = now.where(F.col("component") != F.col("lead.component")).where(_comparable("size", "lead.size", percent)).select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
+            pairs = now.where(F.col("component") != F.col("lead.component")).where(_comparable("size", "lead.size", percent)).select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"), "octave")
             # one pair a set and round: where it shares most fragments
-            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("octave").alias("octave")).groupBy("b").agg(F.max_by(F.struct("a", "octave"), F.struct("n", -F.col("a"))).alias("s")).select("s.a", "b", "s.octave")
+            pairs = _told_apart(pairs, outlines, percent)
         else:
             pairs = _remaining(now, outlines, percent)
         found = materialise(_alike(pairs, sets, percent), "links")
@@ -277,21 +286,27 @@ def _outlines(column) -> np.ndarray:
     return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), 2, -1)
 
 
-def _remaining(now: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share a fragment and that their outlines can't tell apart."""
-    few, many = now.where(F.col("n") <= FEW), now.where(F.col("n") > FEW)
-    left, right = (few.select("key", "octave", F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
-    pairs = left.join(right, ["key", "octave"]).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).groupBy("a", "b").agg(F.min("octave").alias("octave"), F.max(F.col("size_a") + F.col("size_b")).alias("sizes"))
-    pairs = pairs.join(outlines.select(F.col("doc").alias("a"), "octave", F.col("outline").alias("outline_a")), ["a", "octave"]).join(outlines.select(F.col("doc").alias("b"), "octave", F.col("outline").alias("outline_b")), ["b", "octave"])
+def _told_apart(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, octave) whose outlines leave open that they are alike."""
+    one = outlines.select(F.col("doc").alias("a"), "octave", F.col("outlined").alias("size_a"), F.col("outline").alias("outline_a"))
+    two = outlines.select(F.col("doc").alias("b"), "octave", F.col("outlined").alias("size_b"), F.col("outline").alias("outline_b"))
+    both = pairs.join(one, ["a", "octave"]).join(two, ["b", "octave"]).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "outline_a", "outline_b")
 
-    def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             differ = np.array([_least_difference(_outlines([x]), _outlines([y]))[0, 0] for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.int64)
             keep = pa.array(_possible(differ, batch.column(2).to_numpy(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    found = pairs.select("a", "b", "sizes", "outline_a", "outline_b").mapInArrow(by_pair, "a long, b long")
-    return found.unionByName(_in_blocks(many, outlines, percent)).distinct()
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _remaining(now: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share a fragment and that their outlines can't tell apart."""
+    few, many = now.where(F.col("n") <= FEW), now.where(F.col("n") > FEW)
+    left, right = (few.select("key", "octave", F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
+    pairs = left.join(right, ["key", "octave"]).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).groupBy("a", "b").agg(F.min("octave").alias("octave"))
+    return _told_apart(pairs, outlines, percent).unionByName(_in_blocks(many, outlines, percent)).distinct()
 
 
 def _in_blocks(many: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
