@@ -23,7 +23,7 @@ from meridian.llm.words import Words
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text whose entries are summed up before they move.
-STRETCH = 24 << 20
+STRETCH = 12 << 20
 #: The id that stands for a null one: the smallest.
 NULL_ID = -(1 << 63)
 _ALWAYS, _ASK = 1, 0

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once.
-STEP = 4 << 20
+STEP = 1 << 20
 _FACTOR, _WINDOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _WINDOW_INVERSE = np.uint64(pow(int(_WINDOW), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
