@@ -3,6 +3,10 @@
 The global order of shingles (by hash) is cut into fragments. Two sets alike by t or more differ in at most
 (1 - t) / t of either's size, so of that many fragments and one more at least one is the same in both: each
 set announces its largest fragments, that many, and sets that announce the same fragment are candidates.
+The fragment that is the same may be empty in both, but only if neither has more fragments that aren't empty
+than may differ. Such a set (a small one, as a rule) also announces single shingles: its first in the global
+order, one more than may differ. Before the first one that two alike sets share, each has only shingles that
+differ, so both announce it.
 A candidate pair's overlap is counted fragment by fragment and the partial counts are summed.
 
 Only components are wanted, so a fragment that many sets announce doesn't make all their pairs: its members
@@ -38,6 +42,8 @@ ROUNDS = 2
 PARTS = 4
 
 _SET, _SAME, _FRAGMENT = 0, 1, 2
+#: Keeps signatures of single shingles apart from those of fragments.
+_SINGLE = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _unmix(x: np.ndarray) -> np.ndarray:
@@ -88,10 +94,14 @@ def _cut(hashes: np.ndarray, k: int, t: float) -> tuple[int, np.ndarray, np.ndar
 
 
 def _announce(hashes: np.ndarray, k: int, t: float) -> np.ndarray:
-    """Signatures of a set's largest fragments in size class k, one more than can differ."""
+    """Signatures of a set's largest fragments in size class k, one more than can differ; of shingles too where it hasn't so many."""
     _, place, sizes, sums = _cut(hashes, k, t)
-    most = np.lexsort((place, sizes))[::-1][: math.floor(len(hashes) * (1 - t) / t + 1e-9) + 1]
-    return mix(sums[most] + mix(place[most].astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+    least = math.floor(len(hashes) * (1 - t) / t + 1e-9) + 1
+    most = np.lexsort((place, sizes))[::-1][:least]
+    found = mix(sums[most] + mix(place[most].astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+    if len(place) >= least:
+        return found
+    return np.concatenate([found, mix(mix(hashes[:least] ^ _SINGLE) + np.uint64(k))])
 
 
 def _outline(hashes: np.ndarray, k: int, t: float) -> bytes:

@@ -74,6 +74,34 @@ def test_jaccard_many_borderline_members(spark):
     assert sorted(map(tuple, near_copies(frame(spark, texts)).collect())) == brute_components(texts)
 
 
+def test_jaccard_alike_sets_share_an_announcement():
+    """All pairs of sizes up to 20 that can be alike, as different as they may be."""
+    import numpy as np
+
+    from meridian.llm.jaccard import _announce, _octaves
+
+    rng = np.random.default_rng(5)
+    for n in range(1, 21):
+        for m in range(n, 21):
+            shared = -(-80 * (n + m) // 180)
+            for _ in range(300 if shared <= n else 0):
+                x = rng.integers(0, 1 << 64, n + m - shared, dtype=np.uint64)
+                a, b = np.sort(x[:n]), np.sort(x[n - shared :])
+                assert any(len(np.intersect1d(_announce(a, k, 0.8), _announce(b, k, 0.8))) for k in set(_octaves(n, 0.8)) & set(_octaves(m, 0.8))), (n, m)
+
+
+def test_jaccard_short_near_copies(spark):
+    """Pairs of 4 and 5 shingles: a text and the same with a word more."""
+    from meridian.llm.jaccard import near_copies
+
+    rng = random.Random(2)
+    texts = []
+    for i in range(400):
+        words = [f"s{i}x{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    assert sorted(map(tuple, near_copies(frame(spark, texts)).collect())) == brute_components(texts)
+
+
 def test_jaccard_null_id_and_empty_table(spark):
     from meridian.llm.jaccard import near_copies
 
