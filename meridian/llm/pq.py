@@ -2,10 +2,10 @@
 
 Unit vectors are dealt to coarse lists; a vector's residual to its list's centroid is kept as one code for
 each of several subspaces, with the exact length of what the codes leave out. A vector is compared with its
-own list and with every list whose cell comes nearer than ``REACH`` times the radius of the cosine
-threshold. At a reach of 1 no neighbour can be missed; differences of d dimensions point any way, so their
-part across one plane has a spread of radius / sqrt(d), and half the radius is four spreads at d = 64
-(measured recall: README). Distances come from lookup tables of the asking vector; pairs that the left-out length can't rule
+own list and with every other list whose cell comes nearer than ``REACH`` times the radius of the cosine
+threshold. Of two vectors within the radius, the one on whose side of the plane between their lists the
+midpoint doesn't lie is at most half the radius from that plane, so at a reach of a half or more no neighbour
+can be missed. A pair counts in the list on whose side its midpoint lies, so once where both ask. Distances come from lookup tables of the asking vector; pairs that the left-out length can't rule
 out are ranked again by their exact cosine in double precision.
 """
 
@@ -27,7 +27,7 @@ from meridian.llm.components import components
 SAMPLE = 20_000
 #: Most lists; vectors in a list on average, below that; most in one block: blocks, not lists, are what a task holds.
 LISTS, PER_LIST, BLOCK = 4096, 400, 1024
-#: Share of the radius up to which cells are probed.
+#: Share of the radius up to which cells are probed, from both sides; below a half, pairs may be missed.
 REACH = 0.5
 #: Subspaces and centroids of each.
 SUBSPACES, CODES = 16, 32
@@ -73,14 +73,20 @@ class Index:
         return codes, np.sqrt(left)
 
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each vector's list, and the later lists whose cell may hold a vector within ``radius``.
+        """Each vector's list, and the other lists whose cell is within ``radius``.
 
         The bisecting plane of two centroids is (far² - near²) / (2 * their distance) away."""
         d = squares(x, self.coarse)
         own = d.argmin(1)
-        gap = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.between[own], 1e-12)
-        later = np.arange(len(self.coarse))[None, :] > own[:, None]
-        return own, [np.flatnonzero(row) for row in (gap <= radius + 1e-9) & later]
+        near = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * self.between[own] + 1e-7
+        near[np.arange(len(x)), own] = False
+        return own, [np.flatnonzero(row) for row in near]
+
+    def here(self, list_: int, homes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a pair counts in ``list_``: a of that list, b of the list ``homes``. Exactly one of the two lists says so."""
+        lengths = (self.coarse * self.coarse).sum(1)
+        side = ((a + b) * (self.coarse[homes] - self.coarse[list_])).sum(1) + (lengths[list_] - lengths[homes])
+        return (side < 0) | ((side == 0) & (list_ < homes))
 
     def distances(self, list_: int, codes: np.ndarray, asking: np.ndarray) -> np.ndarray:
         """Asymmetric distances of asking vectors to coded members of a list, squared, from lookup tables."""
@@ -159,15 +165,15 @@ def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None =
             for at in range(0, len(batch), 2048):
                 part = batch.slice(at, 2048)
                 v = _matrix(part.column(1).to_pylist(), kind)
-                own, later = index.probes(v, radius * reach)
+                own, others = index.probes(v, radius * reach)
                 codes, left = index.encode(v, own)
-                rows = np.concatenate([np.arange(len(v)), np.repeat(np.arange(len(v)), [len(p) for p in later])])
-                to = np.concatenate([own, *later])
+                rows = np.concatenate([np.arange(len(v)), np.repeat(np.arange(len(v)), [len(p) for p in others])])
+                to = np.concatenate([own, *others])
                 asks = np.arange(len(rows)) >= len(v)
                 coded = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(asks), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), coded, pa.array(left[rows])], ["list", "asks", "vec_id", "x", "codes", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(own[rows].astype(np.int32)), pa.array(asks), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), coded, pa.array(left[rows])], ["list", "home", "asks", "vec_id", "x", "codes", "left"])
 
-    placed = materialise(x.mapInArrow(place, "list int, asks boolean, vec_id long, x binary, codes binary, left double"), "placed")
+    placed = materialise(x.mapInArrow(place, "list int, home int, asks boolean, vec_id long, x binary, codes binary, left double"), "placed")
     # at most LISTS rows
     sizes = placed.groupBy("list").agg(F.count_if(~F.col("asks")).alias("members"), F.count_if(F.col("asks")).alias("asking"))
     sizes = sizes.select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("q"))
@@ -176,9 +182,9 @@ def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None =
     dealt = dealt.withColumn("block", block)
     # a member meets every block of its list, from each side once; an asking vector every block of members
     members = dealt.where("NOT asks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") + F.col("q") - 1)))
-    members = members.select("list", F.when(F.col("other") < F.col("m"), F.least("block", "other")).otherwise(F.col("block")).alias("i"), F.when(F.col("other") < F.col("m"), F.greatest("block", "other")).otherwise(F.col("other")).alias("j"), "asks", "block", "m", "vec_id", "x", "codes", "left")
+    members = members.select("list", F.when(F.col("other") < F.col("m"), F.least("block", "other")).otherwise(F.col("block")).alias("i"), F.when(F.col("other") < F.col("m"), F.greatest("block", "other")).otherwise(F.col("other")).alias("j"), "home", "asks", "block", "m", "vec_id", "x", "codes", "left")
     asking = dealt.where("asks").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    asking = asking.select("list", "i", (F.col("m") + F.col("block")).alias("j"), "asks", "block", "m", "vec_id", "x", "codes", "left")
+    asking = asking.select("list", "i", (F.col("m") + F.col("block")).alias("j"), "home", "asks", "block", "m", "vec_id", "x", "codes", "left")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         index, list_, i, j = sent.value, int(key[0]), int(key[1]), int(key[2])
@@ -194,6 +200,9 @@ def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None =
         a, b = first[a], second[b]
         if i == j:
             a, b = a[a < b], b[a < b]
+        elif asks.any() and len(a):
+            here = index.here(list_, group["home"].to_numpy()[b], v[a], v[b])
+            a, b = a[here], b[here]
         if not len(a):
             return empty
         n_links = np.bincount(a, minlength=len(group)) + np.bincount(b, minlength=len(group))

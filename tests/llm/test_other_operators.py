@@ -51,6 +51,19 @@ def test_near_vectors_recall_at_the_default_reach(spark):
     assert want > 0 and 0.9 * want <= found <= want
 
 
+def test_near_vectors_miss_nothing_in_few_dimensions(spark):
+    """Differences that lie across few planes, and many lists."""
+    from meridian.llm.pq import near_vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in near_vectors(frame, lists=150).collect()}
+    assert want.sum() > 1000 and [found[i] for i in range(len(x))] == want.tolist()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body>
 <header><p>Site header text that is long enough to look like content, really long indeed.</p></header>
 <nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta</a></li></ul></nav>
