@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset and Spark is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     return "file://" + tempfile.gettempdir() + "/meridian-scratch"
@@ -53,9 +56,20 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
 
     Cuts the lineage: what follows survives lost executors without running the plan before it again.
     The shuffle files of that plan are then no longer referenced and Spark may clear them."""
-    path = scratch_path(df.sparkSession, kind)
+    spark = df.sparkSession
+    path = scratch_path(spark, kind)
     df.write.parquet(path)
     schema = df.schema
     del df
     gc.collect()
-    return SparkSession.getActiveSession().read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes what ``materialise`` wrote for these frames, once nothing reads them any more."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path is not None:
+            _remove(frame.sparkSession, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialise
+from meridian.llm.common import materialise, release
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -21,11 +21,12 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for every node of ``links`` (``a, b``, any order).
 
     Every node ends as a star round its component's smallest node; a few rounds do, each written to the
-    shared folder. Nodes without links aren't in the result."""
+    shared folder and deleted once the next is there. Nodes without links aren't in the result."""
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     before = None
     while True:
-        edges = materialise(_star(_star(edges, True), False), "stars")
+        last, edges = edges, materialise(_star(_star(edges, True), False), "stars")
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break

@@ -9,11 +9,12 @@ order, one more than may differ. Before the first one that two alike sets share,
 differ, so both announce it.
 A candidate pair's overlap is counted fragment by fragment and the partial counts are summed.
 
-Only components are wanted, so a fragment that many sets announce doesn't make all their pairs: its members
-are first compared with one leader each, in rounds. Sets that are still in different components are compared
-by outlines (a byte of hash and one of size for every fragment), which bound from below how much two sets
-differ; only pairs that the outlines can't tell apart have their overlap counted. Outlines of a fragment's
-members meet in blocks: those outside the leader's component with each other and with all others.
+Near copies share most fragments, so most fragments are announced by the same list of sets: a list is kept
+once, however many fragments have it. Only components are wanted, so the members of a list are first compared
+with one leader each, in rounds. Sets that are still in different components are compared by outlines (a
+byte of hash and one of size for every fragment), which bound from below how much two sets differ; only pairs
+that the outlines can't tell apart have their overlap counted. Short lists pair up by a join; longer ones that
+lean on the same component are merged, so that its members meet an outsider once, in blocks.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.buckets import PACKED, bucket_bits, by_bucket, pack
-from meridian.llm.common import materialise
+from meridian.llm.common import materialise, release
 from meridian.llm.components import components
 from meridian.llm.substrings import NULL_ID, _stretches
 from meridian.llm.words import Words, mix
 
-#: Up to this many members of a fragment pair up by a join; more meet in blocks of at most ``BLOCK``.
-FEW, BLOCK = 12, 512
+#: Up to this many members of a list pair up by a join; more meet in blocks of at most ``BLOCK``. Most members in a row.
+FEW, BLOCK, CHUNK = 16, 512, 4096
 #: Ids that may be sent to every executor: 32 MB of them.
 SENT_IDS = 4_000_000
 #: Rounds in which members are compared with leaders only.
@@ -44,6 +45,7 @@ PARTS = 4
 _SET, _SAME, _FRAGMENT = 0, 1, 2
 #: Keeps signatures of single shingles apart from those of fragments.
 _SINGLE = np.uint64(0x2545F4914F6CDD1D)
+_IDENTITY = np.uint64(0x5851F42D4C957F2D)
 
 
 def _unmix(x: np.ndarray) -> np.ndarray:
@@ -105,26 +107,29 @@ def _announce(hashes: np.ndarray, k: int, t: float) -> np.ndarray:
 
 
 def _outline(hashes: np.ndarray, k: int, t: float) -> bytes:
-    """A byte of hash and a byte of size for every fragment; zeros where the set has none."""
+    """A byte of size and a byte of hash for every fragment; zeros where the set has none."""
     fragments, place, sizes, sums = _cut(hashes, k, t)
-    out = np.zeros((2, fragments), dtype=np.uint8)
-    out[0, place] = mix(sums) % np.uint64(255) + np.uint64(1)
-    out[1, place] = np.minimum(sizes, 255)
+    out = np.zeros((fragments, 2), dtype=np.uint8)
+    out[place, 0] = np.minimum(sizes, 255)
+    out[place, 1] = mix(sums) % np.uint64(255) + np.uint64(1)
     return out.tobytes()
 
 
-def _least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For outlines a (m, 2, f) and b (n, 2, f): a lower bound of the symmetric differences, (m, n).
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bound by which fragments differ (outlines on the last axis): nothing where hashes are equal, else by their
+    sizes' difference, or by two where sizes are equal."""
+    gap = np.abs(a[..., 0].astype(np.int16) - b[..., 0].astype(np.int16)).astype(np.uint8)
+    gap[gap == 0] = 2
+    gap[a[..., 1] == b[..., 1]] = 0
+    return gap
+
 
-    Fragments with different hashes differ by their sizes' difference, or by two where the sizes are equal."""
+def _least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For outlines a (m, f, 2) and b (n, f, 2): a lower bound of the symmetric differences, (m, n)."""
     out = np.empty((len(a), len(b)), dtype=np.int64)
-    step = max(1, (8 << 20) // max(1, len(b) * a.shape[2]))
+    step = max(1, (4 << 20) // max(1, len(b) * a.shape[1]))
     for i in range(0, len(a), step):
-        part = a[i : i + step]
-        gap = np.abs(part[:, None, 1].astype(np.int16) - b[None, :, 1].astype(np.int16)).astype(np.uint8)
-        gap[gap == 0] = 2
-        gap[part[:, None, 0] == b[None, :, 0]] = 0
-        out[i : i + step] = gap.sum(2, dtype=np.int64)
+        out[i : i + step] = _gaps(a[i : i + step, None], b[None]).sum(2, dtype=np.int64)
     return out
 
 
@@ -141,7 +146,7 @@ def _announced(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
             sets, same, found = [], [], []
             for i in order[sizes[order] > 0].tolist():
                 mine = hashes[first[i] : first[i] + sizes[i]]
-                identity = (int(np.add.reduce(mix(mine ^ np.uint64(0x5851F42D4C957F2D)))), len(mine))
+                identity = (int(np.add.reduce(mix(mine ^ _IDENTITY))), len(mine))
                 head = known.setdefault(identity, i)
                 if head != i:
                     same.append((int(ids[head]), int(ids[i])))
@@ -161,39 +166,99 @@ def _announced(rows: DataFrame, n: int, t: float, bits: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
+MET = "kind int, key long, octave int, chunk int, weight long, docs binary, values binary"
+
+
+def _bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary array of runs of 64-bit numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(8 * sizes)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _met(packed: DataFrame) -> DataFrame:
-    """kind, key, doc, size, leader, octave: equal sets as links (leader, doc), and announcements that more than one set makes."""
+    """``MET``: of equal sets, leaders (docs) and the sets equal to them (values); of announcements that more than one
+    document makes, lists of documents and their sets' sizes. ``key`` is a list's own hash, not the announcement."""
 
-    def rows(kind: int, key: np.ndarray, doc: np.ndarray, size: np.ndarray, leader: np.ndarray, leader_size: np.ndarray, octave: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(size), pa.array(leader), pa.array(leader_size), pa.array(octave.astype(np.int32))], ["kind", "key", "doc", "size", "leader", "leader_size", "octave"])
+    def rows(kind: int, key: np.ndarray, octave: np.ndarray, chunk: np.ndarray, weight: np.ndarray, docs: pa.Array, values: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(octave.astype(np.int32)), pa.array(chunk.astype(np.int32)), pa.array(weight.astype(np.int64)), docs, values], ["kind", "key", "octave", "chunk", "weight", "docs", "values"])
+
+    def equal(leaders: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(docs), 1 << 20):
+            part = slice(at, at + (1 << 20))
+            one = np.zeros(1, np.int64)
+            yield rows(_SAME, one, one, one, one, _bytes(leaders[part].astype(np.int64), np.array([len(docs[part])])), _bytes(docs[part].astype(np.int64), np.array([len(docs[part])])))
 
     def work(hashes, docs, places, kinds) -> Iterator[pa.RecordBatch]:
         which = kinds == _SAME
         if which.any():
-            yield rows(_SAME, hashes[which], docs[which], places[which], _unmix(hashes[which]).view(np.int64), places[which], places[which])
-        for kind in (_SET, _FRAGMENT):
-            which = kinds == kind
-            h, d, s = hashes[which], docs[which], places[which]
-            order = np.lexsort((d, s if kind == _SET else d, h))
-            h, d, s = h[order], d[order], s[order]
-            octave = s % 64
-            s = s // 64 if kind == _FRAGMENT else s
-            if not len(h):
-                continue
-            head = np.concatenate([[True], (h[1:] != h[:-1]) | ((s[1:] != s[:-1]) if kind == _SET else False)])
-            start, group = np.flatnonzero(head), np.cumsum(head) - 1
-            many = np.bincount(group)[group] > 1
-            take = many & ~head if kind == _SET else many
-            if take.any():
-                yield rows(_SAME if kind == _SET else _FRAGMENT, h[take], d[take], s[take], d[start][group][take], s[start][group][take], octave[take])
-
-    return by_bucket(packed, work, "kind int, key long, doc long, size long, leader long, leader_size long, octave int")
-
-
-def _sets(rows: DataFrame, wanted: DataFrame, n: int, t: float) -> DataFrame:
-    """doc, part, size, hashes: the sets of ``wanted`` documents, cut into parts of the global order.
-
-    Part -1 - k holds the outline in size class k."""
+            yield from equal(_unmix(hashes[which]).view(np.int64), docs[which])
+        which = kinds == _SET
+        h, d, s = hashes[which], docs[which], places[which]
+        order = np.lexsort((d, s, h))
+        h, d, s = h[order], d[order], s[order]
+        if len(h):
+            head = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+            leaders = d[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            yield from equal(leaders[~head], d[~head])
+        which = kinds == _FRAGMENT
+        h, d, s = hashes[which], docs[which], places[which]
+        order = np.lexsort((s, d, h))
+        h, d, s = h[order], d[order], s[order]
+        if not len(h):
+            return
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(start, len(h)))
+        names = np.add.reduceat(mix(d.view(np.uint64) ^ mix(s.astype(np.uint64))), start) + mix(n.astype(np.uint64))
+        # sorted by document, so the first and the last differ where any two do
+        names, at, weight = np.unique(np.where(d[start] != d[start + n - 1], names, np.uint64(0)), return_index=True, return_counts=True)
+        names, at, weight = (x[names > 0] for x in (names, at, weight))
+        if not len(names):
+            return
+        start, n = start[at], n[at]
+        chunks = -(-n // CHUNK)
+        of = np.repeat(np.arange(len(n)), chunks)
+        chunk = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        start, n = start[of] + chunk * CHUNK, np.minimum(n[of] - chunk * CHUNK, CHUNK)
+        take = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield rows(_FRAGMENT, names[of], s[start] % 64, chunk, weight[of], _bytes(d[take], n), _bytes(s[take] // 64, n))
+
+    return by_bucket(packed, work, MET)
+
+
+def _pairs_of(met: DataFrame) -> DataFrame:
+    """a, b: equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, values in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (docs, values)], ["a", "b"])
+
+    return met.where(F.col("kind") == _SAME).select("docs", "values").mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def _members(met: DataFrame) -> DataFrame:
+    """key, octave, weight, doc, size: the members of each list, once, and how many fragments have the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                docs, sizes = ([np.frombuffer(x.as_py(), np.int64) for x in part.column(i)] for i in (3, 4))
+                rows = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in docs]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(3)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["key", "octave", "weight", "doc", "size"])
+
+    lists = met.where(F.col("kind") == _FRAGMENT).groupBy("key", "octave", "chunk").agg(F.sum("weight").alias("weight"), F.first("docs").alias("docs"), F.first("values").alias("sizes"))
+    return lists.select("key", "octave", "weight", "docs", "sizes").mapInArrow(run, "key long, octave int, weight long, doc long, size long")
+
+
+def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the documents in ``wanted`` (doc, distinct, written): ids are sent round where they are few enough."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc", "left_semi")
+
+
+def _sets(rows: DataFrame, n: int, t: float) -> DataFrame:
+    """doc, version, part, size, hashes: the sets of documents, cut into parts of the global order.
+
+    version: the set's identity, as rows that share an id may have different sets. Part -1 - k holds the outline in size class k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _stretches(batches, 1):
@@ -201,80 +266,113 @@ def _sets(rows: DataFrame, wanted: DataFrame, n: int, t: float) -> DataFrame:
             out, at = [], 0
             for doc, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
                 mine = hashes[at : at + size]
-                cut = np.searchsorted(mine, np.arange(PARTS + 1, dtype=np.float64)[1:-1] * 2.0 ** (64 - int(math.log2(PARTS))))
-                out += [(doc, i, size, x.tobytes()) for i, x in enumerate(np.split(mine, cut)) if size]
-                out += [(doc, -1 - k, size, _outline(mine, k, t)) for k in (_octaves(size, t) if size else ())]
                 at += size
+                if size:
+                    version = int(np.add.reduce(mix(mine ^ _IDENTITY)).view(np.int64))
+                    cut = np.searchsorted(mine, np.arange(PARTS + 1, dtype=np.float64)[1:-1] * 2.0 ** (64 - int(math.log2(PARTS))))
+                    out += [(doc, version, i, size, x.tobytes()) for i, x in enumerate(np.split(mine, cut))]
+                    out += [(doc, version, -1 - k, size, _outline(mine, k, t)) for k in _octaves(size, t)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc", "part", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc", "version", "part", "size", "hashes"])
+
+    return rows.select("doc", "text").mapInArrow(run, "doc long, version long, part int, size long, hashes binary")
+
 
-    return rows.join(wanted.hint("shuffle_hash"), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "text").mapInArrow(run, "doc long, part int, size long, hashes binary")
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    """The columns of one side of a pair: its document becomes ``name``."""
+    return rows.withColumnsRenamed({"doc": name, **{c: f"{c}_{name}" for c in ("version", "size", "hashes")}})
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; distinct) that are alike: partial overlaps by part, summed per pair.
+def _wanted(pairs: DataFrame) -> DataFrame:
+    return materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
 
-    Where the documents in pairs are few enough to send their ids round, only their sets move."""
+
+def _alike(pairs: DataFrame, outlines: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: those of ``pairs`` (a, b, octave) that are alike, written to the shared folder: partial overlaps by part, summed per pair."""
     pairs = materialise(pairs, "pairs")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
-    if wanted.count() <= SENT_IDS:
-        sets = sets.join(F.broadcast(wanted), "doc", "left_semi")
+    wanted = _wanted(pairs)
+    near = materialise(_told_apart(pairs, _only(outlines, wanted), percent).distinct(), "pairs")
+    found = _counted(near, sets, percent)
+    release(pairs, wanted, near)
+    return found
+
 
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["a", "b", "sizes", "shared"])
+            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(5), batch.column(6), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n, pa.int64())], ["a", "b", "version_a", "version_b", "sizes", "shared"])
 
-    one = sets.select(F.col("doc").alias("b"), "part", F.col("size").alias("size_b"), F.col("hashes").alias("hashes_b"))
-    two = sets.select(F.col("doc").alias("a"), "part", F.col("size").alias("size_a"), F.col("hashes").alias("hashes_a"))
-    both = pairs.join(one, "b").join(two, ["a", "part"]).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "hashes_a", "hashes_b")
-    summed = both.mapInArrow(run, "a long, b long, sizes long, shared long").groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
-    return summed.where(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b")
+    wanted = _wanted(pairs)
+    sets = _only(sets, wanted)
+    both = pairs.join(_side(sets, "b"), "b").join(_side(sets, "a"), ["a", "part"])
+    both = both.select("a", "b", "version_a", "version_b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "hashes_a", "hashes_b")
+    summed = both.mapInArrow(run, "a long, b long, version_a long, version_b long, sizes long, shared long").groupBy("a", "b", "version_a", "version_b", "sizes").agg(F.sum("shared").alias("shared"))
+    found = materialise(summed.where(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b").distinct(), "alike")
+    release(wanted)
+    return found
 
 
 def _comparable(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _one_row_each(named: DataFrame) -> DataFrame:
+    """``doc, text`` rows without repeated pairs; only rows of repeated ids move."""
+    repeated = materialise(named.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "repeated")
+    if repeated.isEmpty():
+        return named
+    return named.join(repeated, "doc", "left_anti").unionByName(named.join(repeated, "doc", "left_semi").distinct())
+
+
 def near_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components of texts whose shingle sets are alike.
 
     docs: ``doc_id, text``; other columns are ignored. Two rows link when 100 times the intersection of their
     sets is at least ``percent`` times the union. A text of fewer than ``n`` words has its whole sequence as
     one shingle; a null or empty one has none and links with nothing, its component is its own id. Equal sets
-    are linked before anything else. Rows that share an id share a component, and the sets of all of them
-    stand for it as the first that is met. A null id is its own row with a null component. An empty table
-    gives no rows."""
+    are linked before anything else. Rows that share an id share a component: it links with whatever any of
+    them links with. A null id is its own row with a null component. An empty table gives no rows."""
     t = percent / 100
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = rows.where(F.col("doc") != NULL_ID)
+    named = _one_row_each(rows.where(F.col("doc") != NULL_ID))
     met = materialise(_met(_announced(named, n, t, bucket_bits(docs))), "met")
-    links = met.where(F.col("kind") == _SAME).select(F.col("leader").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    fragments = met.where(F.col("kind") == _FRAGMENT).select("key", "doc", "size", "leader", "leader_size", "octave")
-    stored = materialise(_sets(named, fragments.select("doc").distinct(), n, t), "sets")
-    sets, outlines = stored.where("part >= 0"), stored.where("part < 0").select("doc", (-1 - F.col("part")).alias("octave"), F.col("size").alias("outlined"), F.col("hashes").alias("outline"))
-    # the leader that shares most fragments with a set
-    first = fragments.where((F.col("doc") != F.col("leader")) & _comparable("size", "leader_size", percent)).groupBy("doc", "leader").agg(F.count(F.lit(1)).alias("n"), F.min("octave").alias("octave")).groupBy("doc").agg(F.max_by(F.struct("leader", "octave"), F.struct("n", -F.col("leader"))).alias("s")).select(F.col("s.leader").alias("a"), F.col("doc").alias("b"), "s.octave")
-    links = materialise(links.unionByName(_alike(_told_apart(first, outlines, percent), sets, percent)), "links")
-    known = materialise(components(links), "components")
-    members = fragments.select("key", "doc", "size", "octave")
-    for round_ in range(1, ROUNDS + 2):
-        now = members.join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), F.max_by(F.struct("doc", "size", "component"), F.xxhash64("doc", F.lit(round_))).alias("lead")).where("least < most").drop("least", "most")
-        now = materialise(now.join(mixed, "key"), "mixed")
-        members = now.select("key", "doc", "size", "octave")
-        if round_ <= ROUNDS:
-            pairs = now.where(F.col("component") != F.col("lead.component")).where(_comparable("size", "lead.size", percent)).select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"), "octave")
+    members = materialise(_members(met), "members")
+    links = [materialise(_pairs_of(met), "links")]
+    release(met)
+    wanted = materialise(members.select("doc").distinct(), "wanted")
+    stored = materialise(_sets(_only(named, wanted), n, t), "sets")
+    release(wanted)
+    sets, outlines = stored.where("part >= 0"), stored.where("part < 0").withColumn("octave", -1 - F.col("part")).drop("part")
+    known = materialise(components(links[0]), "components")
+    for round_ in range(ROUNDS + 1):
+        sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("weighs"))
+        now = members.join(known.join(sizes, "component").withColumnRenamed("node", "doc"), "doc", "left").withColumns({"component": F.coalesce("component", "doc"), "weighs": F.coalesce("weighs", F.lit(1))})
+        # the leader: of the largest component, the document that most lists agree on
+        lead = F.max_by(F.struct("doc", "size", "component"), F.struct("weighs", F.xxhash64("component"), F.xxhash64("doc", F.lit(round_))))
+        mixed = now.groupBy("key", "octave").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), lead.alias("lead")).where("least < most").drop("least", "most")
+        now = materialise(now.join(mixed, ["key", "octave"]).drop("weighs"), "mixed")
+        release(members)
+        members = now.drop("component", "n", "lead")
+        members._scratch = now._scratch
+        if round_ < ROUNDS:
+            pairs = now.where(F.col("component") != F.col("lead.component")).where(_comparable("size", "lead.size", percent)).select("doc", F.col("lead.doc").alias("lead"), "octave", "weight")
             # one pair a set and round: where it shares most fragments
-            pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("octave").alias("octave")).groupBy("b").agg(F.max_by(F.struct("a", "octave"), F.struct("n", -F.col("a"))).alias("s")).select("s.a", "b", "s.octave")
-            pairs = _told_apart(pairs, outlines, percent)
+            pairs = pairs.groupBy("doc", "lead").agg(F.sum("weight").alias("n"), F.min("octave").alias("octave")).groupBy("doc").agg(F.max_by(F.struct("lead", "octave"), F.struct("n", -F.col("lead"))).alias("s"))
+            pairs = pairs.select(F.least("doc", "s.lead").alias("a"), F.greatest("doc", "s.lead").alias("b"), "s.octave").distinct()
         else:
             pairs = _remaining(now, outlines, percent)
-        found = materialise(_alike(pairs, sets, percent), "links")
+        found = _alike(pairs, outlines, sets, percent)
         if found.isEmpty():
+            release(found)
             continue
-        links = links.unionByName(found)
-        known = materialise(components(links), "components")
+        links.append(found)
+        all_links = links[0]
+        for more in links[1:]:
+            all_links = all_links.unionByName(more)
+        before, known = known, materialise(components(all_links), "components")
+        release(before)
+    release(members, stored, *links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _stretches(batches, 1):
@@ -293,47 +391,52 @@ def _possible(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray
 
 def _outlines(column) -> np.ndarray:
     data = [x.as_py() if isinstance(x, pa.Scalar) else x for x in column]
-    return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), 2, -1)
+    return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1, 2)
 
 
 def _told_apart(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, octave) whose outlines leave open that they are alike."""
-    one = outlines.select(F.col("doc").alias("a"), "octave", F.col("outlined").alias("size_a"), F.col("outline").alias("outline_a"))
-    two = outlines.select(F.col("doc").alias("b"), "octave", F.col("outlined").alias("size_b"), F.col("outline").alias("outline_b"))
-    both = pairs.join(one, ["a", "octave"]).join(two, ["b", "octave"]).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "outline_a", "outline_b")
+    both = pairs.join(_side(outlines, "a"), ["a", "octave"]).join(_side(outlines, "b"), ["b", "octave"]).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "hashes_a", "hashes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differ = np.array([_least_difference(_outlines([x]), _outlines([y]))[0, 0] for x, y in zip(batch.column(3), batch.column(4), strict=True)], dtype=np.int64)
-            keep = pa.array(_possible(differ, batch.column(2).to_numpy(), percent), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                one, two = ([x.as_py() for x in part.column(i)] for i in (3, 4))
+                a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 2) for x in (one, two))
+                starts = np.cumsum([0, *(len(x) // 2 for x in one)])[:-1]
+                differ = np.add.reduceat(_gaps(a, b).astype(np.int64), starts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(_possible(differ, part.column(2).to_numpy(), percent), pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def _remaining(now: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that share a fragment and that their outlines can't tell apart."""
+    """a, b, octave: pairs across components that share a list, less those of long lists that their outlines tell apart."""
     few, many = now.where(F.col("n") <= FEW), now.where(F.col("n") > FEW)
     left, right = (few.select("key", "octave", F.col("doc").alias(x), F.col("size").alias(f"size_{x}"), F.col("component").alias(f"component_{x}")) for x in "ab")
-    pairs = left.join(right, ["key", "octave"]).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).groupBy("a", "b").agg(F.min("octave").alias("octave"))
-    return _told_apart(pairs, outlines, percent).unionByName(_in_blocks(many, outlines, percent)).distinct()
+    pairs = left.join(right, ["key", "octave"]).where("a < b AND component_a <> component_b").where(_comparable("size_a", "size_b", percent)).select("a", "b", "octave")
+    return pairs.unionByName(_in_blocks(many, outlines, percent)).groupBy("a", "b").agg(F.min("octave").alias("octave"))
 
 
 def _in_blocks(many: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
-    """The same for fragments with many members: tasks compare two blocks of outlines each."""
-    outside = F.col("component") != F.col("lead.component")
-    counts = many.groupBy("key").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("p"), F.ceil(F.count_if(~outside) / BLOCK).cast("int").alias("q"))
-    rows = many.join(counts, "key").where("p > 0").join(outlines, ["doc", "octave"])
+    """The same for long lists. Those with the same leading component are one: tasks compare two blocks of outlines each."""
+    outside = F.col("component") != F.col("cluster")
+    members = materialise(many.select(F.col("lead.component").alias("cluster"), "octave", "doc", "component").distinct(), "clusters")
+    counts = members.groupBy("cluster", "octave").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("p"), F.ceil(F.count_if(~outside) / BLOCK).cast("int").alias("q"))
+    wanted = materialise(members.select("doc").distinct(), "wanted")
+    rows = members.join(counts, ["cluster", "octave"]).where("p > 0").join(_only(outlines, wanted), ["doc", "octave"])
     block = F.pmod(F.xxhash64("doc"), F.when(outside, F.col("p")).otherwise(F.col("q"))).cast("int")
-    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("block", block).withColumnsRenamed({"hashes": "outline"})
     apart = rows.where(outside).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1)))
     inner = F.col("other") < F.col("p")
-    apart = apart.select("key", F.when(inner, F.least("block", "other")).otherwise(F.col("block")).alias("i"), F.when(inner, F.greatest("block", "other")).otherwise(F.col("other")).alias("j"), F.col("block").alias("mine"), "doc", "size", "component", "outline")
-    others = rows.where(~outside).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("key", "i", (F.col("p") + F.col("block")).alias("j"), (F.col("p") + F.col("block")).alias("mine"), "doc", "size", "component", "outline")
+    kept = ("doc", "size", "component", "outline")
+    apart = apart.select("cluster", "octave", F.when(inner, F.least("block", "other")).otherwise(F.col("block")).alias("i"), F.when(inner, F.greatest("block", "other")).otherwise(F.col("other")).alias("j"), F.col("block").alias("mine"), *kept)
+    others = rows.where(~outside).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select("cluster", "octave", "i", (F.col("p") + F.col("block")).alias("j"), (F.col("p") + F.col("block")).alias("mine"), *kept)
 
     def compare(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
-        i, j, mine = table["i"][0].as_py(), table["j"][0].as_py(), table["mine"].to_numpy()
+        octave, i, j, mine = table["octave"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py(), table["mine"].to_numpy()
         docs, sizes, parts = table["doc"].to_numpy(), table["size"].to_numpy(), table["component"].to_numpy()
         first, second = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         if not len(first) or not len(second):
@@ -344,13 +447,13 @@ def _in_blocks(many: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
         a, b = np.nonzero(np.triu(good, 1) if i == j else good)
         if len(a):
             a, b = docs[first[a]], docs[second[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), octave, np.int32))], ["a", "b", "octave"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         current = None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
             at = 0
             while at < len(keys):
                 stop = at + 1
@@ -365,4 +468,4 @@ def _in_blocks(many: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from compare(held)
 
-    return apart.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return apart.unionByName(others).repartition("cluster", "octave", "i", "j").sortWithinPartitions("cluster", "octave", "i", "j").mapInArrow(run, "a long, b long, octave int")
