@@ -17,21 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks remembered by a Python worker, and the longest of them: about 150 MB at most.
-CACHE_CHUNKS, KEPT_CHARS = 600_000, 48
+#: Distinct chunks remembered by a task, and the longest of them: about 50 MB at most.
+CACHE_CHUNKS, KEPT_CHARS = 200_000, 48
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _AWKWARD = re.compile(r" \s|\s ")
 
 
 class ChunkTokenizer:
-    """Token ids as little-endian 32-bit bytes.
+    """Token ids as little-endian 32-bit bytes, those of the JSON tokenizer.
 
     The vocabulary's splitting pattern always begins a new word at a single space between two characters
     that aren't white space, so a text may be cut before such spaces and its chunks encoded apart: ids are
-    the same, memory is bounded for very long texts, and repeated chunks are looked up."""
+    the same, memory is bounded for very long texts, and repeated chunks are looked up. A text that holds the
+    literal of an added token is encoded whole by the JSON tokenizer, which gives that token's id for it."""
 
     def __init__(self, path: str, ranks_path: str | None):
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+
+        def whole(text: str) -> list[int]:
+            return model.encode(text, add_special_tokens=False).ids
+
+        self.whole = self.ids_of = whole
+        added = [token.content for token in model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if ranks_path:
             import base64
 
@@ -40,17 +51,7 @@ class ChunkTokenizer:
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            ids_of = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-
-            def ids_of(text: str) -> list[int]:
-                return model.encode(text, add_special_tokens=False).ids
-
-        self.ids_of = ids_of
+            self.ids_of = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunk: str) -> bytes:
@@ -65,6 +66,9 @@ class ChunkTokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added is not None and self.added.search(text):
+            ids = self.whole(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
         parts = _CUT.split(text) if text[0].isspace() or _AWKWARD.search(text) else text.split(" ")
         # each chunk but the first keeps the space before it
         parts = parts[:1] + [" " + x for x in parts[1:]]
@@ -94,7 +98,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int =
     """One row per sequence: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket``.
 
     docs: ``doc_id`` (integer) and ``text``; other columns are ignored whatever their names. limit: a power
-    of two. ranks_path: the same vocabulary as ranks, if there is one; the ids are the same, found faster. A null or empty text is one piece holding ``end_id`` alone; rows with equal doc_id are packed
+    of two. ranks_path: the same vocabulary as ranks, if there is one;
+    the ids are the same, found faster. A literal of an added token is that token, as the tokenizer has it by default. A null or empty text is one piece holding ``end_id`` alone; rows with equal doc_id are packed
     apart, each with sequences of its own. An empty table gives no rows. ``sequence_id`` is unique in a
     result; ``bucket`` is log2 of the length. It is one narrow pass: no shuffle, and a lost executor's
     partitions are simply read again."""
@@ -114,6 +119,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int =
             if rows:
                 kinds = (pa.int64(),) * 5 + (pa.int32(),)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket"])
+        model.known.clear()  # the worker lives on
 
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket")
