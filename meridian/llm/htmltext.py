@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text of their paragraphs less their links. A page votes for the
-generalised tag-class path of its best containers; votes are summed per host in Spark; every page is then
-read again and its text taken from the host's winning path, or its own best container where the page has
-none of them.
+Every page's containers are scored by the text in them less their links. A page votes for the generalised
+tag-class path of the smallest container that holds almost all of it, headline included; votes are summed per
+host in Spark; every page is then read again and its text taken from the host's winning path that it has, or
+from its own container where it has none of them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Paths a host keeps, best first; a page whose best paths are none of them falls back on its own.
-HOST_PATHS = 16
-#: Paths a page may vote for.
-PAGE_VOTES = 3
+from meridian.llm.common import materialise
+
+#: Share of a page's text that its container holds, and the share of it that a host's path must hold to be taken.
+WHOLE, ENOUGH = 0.9, 1 / 3
+#: A container grows to its parent where that adds a headline before it and at most this share of text.
+GROWTH = 0.25
+#: Hosts whose paths may be sent round, and the most bytes of them; hosts with more pages than ``HOT`` are dealt over ``SALTS``.
+SENT_HOSTS, SENT_BYTES, HOT, SALTS = 100_000, 32 << 20, 100_000, 64
 
 # Fixed values of HTML: elements without content, with raw text, that begin a block, that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,57 +189,82 @@ def _without_menus(blocks: list[Block]) -> list[Block]:
     return [b for b, k in zip(blocks, member, strict=True) if k not in menus] if menus else blocks
 
 
-def scores(blocks: list[Block]) -> dict[Node, float]:
-    """Containers' scores: a block's unlinked text counts for its own container whole, for the next half, and so on."""
-    found: dict[Node, float] = {}
+def _worth(block: Block) -> int:
+    """Characters outside links; none where links are more than half."""
+    return 0 if block.linked > 0.5 * len(block.text) else len(block.text) - block.linked
+
+
+def scores(blocks: list[Block]) -> dict[Node, int]:
+    """The worth of all blocks in each container, from inside out."""
+    found: dict[Node, int] = {}
     for b in blocks:
-        if b.linked > 0.5 * len(b.text):
-            continue
-        worth = len(b.text) - b.linked + (20 if b.node.tag in ("p", "pre", "blockquote") else 0)
-        node = b.node
-        while node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dd", "dt", "blockquote") and node.parent is not None and node.parent.parent is not None:
-            node = node.parent
-        share = 1.0
-        while node is not None and node.tag not in ("#root", "html") and share > 0.1:
-            found[node] = found.get(node, 0.0) + worth * share
-            share *= 0.5 if node.tag not in ("article", "main") else 0.2
-            node = node.parent
+        if worth := _worth(b):
+            node: Node | None = b.node
+            while node is not None:
+                found[node] = found.get(node, 0) + worth
+                node = node.parent
     return found
 
 
-def _best(found: dict[Node, float]) -> list[tuple[Node, float]]:
-    return sorted(found.items(), key=lambda x: (-x[1], x[0].order))
+_INLINE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt".split())
+
+
+def container(blocks: list[Block], found: dict[Node, int]) -> Node | None:
+    """The smallest container that holds almost all of the page's text, grown to take in a headline before it."""
+    if not found:
+        return None
+    total = max(found.values())
+    best = max((n for n, s in found.items() if s >= WHOLE * total), key=lambda n: n.order)
+    while best.parent is not None and best.tag in _INLINE:
+        best = best.parent
+    while best.parent is not None and best.tag not in ("article", "main", "body"):
+        inside = _inside(blocks, lambda n, best=best: n is best)
+        above = _inside(blocks, lambda n, best=best: n is best.parent)
+        first = inside.index(True)
+        if not any(b.node.tag in ("h1", "h2") and x for b, x in zip(blocks[:first], above[:first], strict=True)) or found[best.parent] > (1 + GROWTH) * found[best]:
+            break
+        best = best.parent
+    return best
+
+
+def _inside(blocks: list[Block], chosen) -> list[bool]:
+    """For each block, whether a container that is ``chosen`` holds it."""
+    known: dict[int, bool] = {}
+
+    def within(node: Node) -> bool:
+        chain = []
+        at: Node | None = node
+        while at is not None and at.order not in known and not chosen(at):
+            chain.append(at.order)
+            at = at.parent
+        answer = at is not None and (known[at.order] if at.order in known else True)
+        known.update(dict.fromkeys(chain, answer))
+        return answer
+
+    return [within(b.node) for b in blocks]
 
 
-def votes(html: str) -> list[tuple[str, float]]:
-    """A page's votes: its best paths and their share of its score; none for a page without text."""
-    by_path: dict[str, float] = {}
-    for node, score in scores(parse(html)).items():
-        by_path[node.path] = by_path.get(node.path, 0.0) + score
-    best = sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:PAGE_VOTES]
-    total = sum(s for _, s in best)
-    return [(p, s / total) for p, s in best if total > 0]
+def vote(html: str) -> str | None:
+    """The path of a page's container; None for a page without text."""
+    blocks = parse(html)
+    best = container(blocks, scores(blocks))
+    return None if best is None else best.path
 
 
 def extract(html: str, paths: list[str]) -> str:
-    """The text at the first of ``paths`` that holds at least a third of the page's best score, else at its best container."""
+    """The text at the first of ``paths`` that holds enough of the page, else at the page's own container."""
     blocks = parse(html)
     found = scores(blocks)
-    if not found:
+    own = container(blocks, found)
+    if own is None:
         return "\n".join(b.text for b in blocks if b.linked <= 0.5 * len(b.text))
-    best, most = _best(found)[0]
-    by_path: dict[str, float] = {}
-    for node, score in found.items():
-        by_path[node.path] = by_path.get(node.path, 0.0) + score
-    path = next((p for p in paths if by_path.get(p, 0.0) >= most / 3), best.path)
-    inside: dict[int, bool] = {}
-
-    def within(node: Node) -> bool:
-        if node.order not in inside:
-            inside[node.order] = node.path == path or node.parent is not None and within(node.parent)
-        return inside[node.order]
-
-    return "\n".join(b.text for b in blocks if within(b.node))
+    there = {n.path for n in found}
+    total = sum(map(_worth, blocks))
+    for path in (*(p for p in paths if p in there), own.path):
+        inside = _inside(blocks, lambda n, path=path: n.path == path)
+        if path == own.path or sum(_worth(b) for b, x in zip(blocks, inside, strict=True) if x) >= ENOUGH * total:
+            break
+    return "\n".join(b.text for b, x in zip(blocks, inside, strict=True) if x)
 
 
 def host(url: Column) -> Column:
@@ -244,23 +273,23 @@ def host(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, paths``: the winning paths of each host, most votes first. Votes are summed before they move."""
+    """``host, pages, paths``: the paths that two pages or more of a host vote for, most votes first.
+
+    Votes are summed before they move. A path with one vote is its page's own, so it needs no telling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
+            sums: dict[tuple[str, str], int] = {}
             for h, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for path, share in votes(html.as_py() or ""):
-                    sums[h, path] = sums.get((h, path), 0.0) + share
+                if (path := vote(html.as_py() or "")) is not None:
+                    sums[h, path] = sums.get((h, path), 0) + 1
             if sums:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array(list(sums.values()))], ["host", "path", "votes"])
-
-    cast = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, votes double")
-    summed = cast.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    from pyspark.sql.window import Window
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array(list(sums.values()), pa.int64())], ["host", "path", "votes"])
 
-    ranked = summed.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("n") <= HOST_PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("paths"))
+    cast = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, votes long")
+    summed = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes")).where("votes > 1")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), "path")))
+    return summed.groupBy("host").agg(F.sum("votes").alias("pages"), F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -268,8 +297,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without main text, gives an empty text; a null url votes on the host "".
     Repeated rows are extracted each. An empty table gives no rows. The whole html is read whatever its
-    length. Winning paths are few per host; they are joined by host, where Spark splits a hot host's pages."""
-    paths = host_paths(pages)
+    length. Where all hosts' paths are small they are sent round and no page moves; else pages move by host,
+    those of a host with many pages over ``SALTS`` keys."""
+    paths = materialise(host_paths(pages), "host-paths")
+    size = paths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("paths", F.lit(0), lambda n, x: n + F.octet_length(x))), F.lit(0)).alias("bytes")).first()
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,4 +308,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(html.as_py() or "", known or []) for html, known in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return keyed.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    if size["n"] <= SENT_HOSTS and size["bytes"] <= SENT_BYTES:
+        joined = keyed.join(F.broadcast(paths.select("host", "paths")), "host", "left")
+    else:
+        # as many hosts as the table has times HOT pages, at most
+        hot = paths.where(F.col("pages") > HOT).select("host", F.lit(SALTS).alias("salts"))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = keyed.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts)).drop("salts")
+        copied = paths.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).select("host", "salt", "paths")
+        joined = dealt.join(copied, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.buckets import PACKED, bucket_bits, by_bucket, pack
+from meridian.llm.common import materialise
 from meridian.llm.words import Words
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -138,13 +139,8 @@ def _repeats(packed: DataFrame) -> DataFrame:
         h, d, p = hashes[ask], docs[ask], places[ask]
         order = np.lexsort((p, d, h))
         h, d, p = h[order], d[order], p[order]
-        same = h[1:] == h[:-1]
-        # rows that share an id and a start are one place: none of them is earlier than another
-        place = np.concatenate([[False], same & (d[1:] == d[:-1]) & (p[1:] == p[:-1])])
-        head = np.concatenate([[True], ~same])
-        group = np.cumsum(head) - 1
-        start = np.flatnonzero(head)
-        later = ~((d == d[start][group]) & (p == p[start][group])) if len(h) else place
+        later = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
+        start = np.flatnonzero(~later)
         always = np.flatnonzero(~ask)
         if len(always) and len(h):
             known = h[start]
@@ -165,22 +161,40 @@ def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``doc, text, starts``: every text with the sorted starts of its repeated windows (null: none).
+def _keyed(docs: DataFrame, others: list[str]) -> DataFrame:
+    """doc, text, id, null and ``_in_0``...: ``docs`` with a key of its own for each row, in the order of ids.
 
-    docs: ``doc_id, text``; a null id is the smallest id, a null text has no words. Rows that share an id are
-    one place for windows at the same start: these never remove each other, and a start found in one counts
-    for all. An empty table gives no rows. Texts move once (both joins read the same exchange); entries move
-    by hash after each stretch of input has kept one per hash, so a passage in a third of all documents
-    meets in a task once per stretch, not once per document."""
+    The key is the id where no two rows share one (a null id counts as the smallest). Else rows are sorted by id,
+    then text, and numbered; they are written, so that a lost executor doesn't number them anew."""
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    text = F.col("text").cast("string")
+    rows = docs.select(id_.alias("doc"), F.coalesce(text, F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("id"), text.isNull().alias("null"), *[docs[c].alias(f"_in_{i}") for i, c in enumerate(others)])
+    if rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows
+    in_order = rows.repartitionByRange("doc", F.xxhash64("text")).sortWithinPartitions("doc", F.xxhash64("text"), "text")
+    return materialise(in_order.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+
+
+def _starts(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """doc, starts: where repeated windows start in the texts of ``rows`` that have any."""
     if window < PERIOD + 2:
         raise ValueError(f"windows need {PERIOD + 2} words or more")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = bucket_bits(docs)
+    bits, rows = bucket_bits(docs), rows.select("doc", "text")
     ats = _repeated_anchors(_anchors(rows, window, bits)).groupBy("doc").agg(F.collect_list("at").alias("ats"))
     around = rows.join(ats.hint("shuffle_hash"), "doc", "left").select("doc", "text", "ats")
-    starts = _repeats(_windows(around, window, bits)).groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    return rows.join(starts.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts")
+    return _repeats(_windows(around, window, bits)).groupBy("doc").agg(F.collect_list("start").alias("starts"))
+
+
+def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """``id, text, starts``: every row's id and text with the starts of its repeated windows (null: none).
+
+    docs: ``doc_id, text``; a null id is the smallest id, a null text has no words. Rows that share an id are
+    documents of their own, in the order of their texts; of equal rows one is the first. An empty table gives
+    no rows. Texts move by their key; entries move by hash after each stretch of input has kept one per hash,
+    so a passage in a third of all documents meets in a task once per stretch, not once per document. The
+    joins build on the starts of a partition's documents, a few bytes for a word of repeated text at most."""
+    rows = _keyed(docs, [])
+    return rows.join(_starts(rows, docs, window).hint("shuffle_hash"), "doc", "left").select("id", "text", "starts")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[bytes]]]:
@@ -206,8 +220,7 @@ def digest(found: DataFrame, window: int = 20) -> DataFrame:
         for batch, n_words, n_removed, kept in _kept(batches, window):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -215,14 +228,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A text that loses words becomes its kept words, joined by one space; others stay as they are."""
     names = docs.columns
-    others = [c for c in names if c not in ("doc_id", "text")]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = bucket_bits(docs)
-    ats = _repeated_anchors(_anchors(rows, window, bits)).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    around = rows.join(ats.hint("shuffle_hash"), "doc", "left").select("doc", "text", "ats")
-    starts = _repeats(_windows(around, window, bits)).groupBy("doc").agg(F.collect_list("start").alias("starts"))
-    carried = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("text").isNull().alias("_null"), *[docs[c].alias(f"_in_{i}") for i, c in enumerate(others)])
-    joined = carried.join(starts.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").select("_doc", "_text", "starts", "_null", *[f"_in_{i}" for i in range(len(others))])
+    others = [c for c in names if c != "text"]
+    rows = _keyed(docs, others)
+    joined = rows.join(_starts(rows, docs, window).hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts", "null", *[f"_in_{i}" for i in range(len(others))])
     schema = joined.drop("starts").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,5 +239,5 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], schema.names)
 
     out = joined.mapInArrow(run, schema)
-    renamed = {"doc_id": F.when(F.col("_doc") != NULL_ID, F.col("_doc")), "text": F.when(~F.col("_null"), F.col("_text"))} | {c: F.col(f"_in_{i}") for i, c in enumerate(others)}
+    renamed = {"text": F.when(~F.col("null"), F.col("text"))} | {c: F.col(f"_in_{i}") for i, c in enumerate(others)}
     return out.select(*[renamed[c].alias(c) for c in names])

@@ -170,3 +170,47 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
         kept.append({r[0] for r in docs.select("doc_id").collect()})
     assert kept[0] == {i for i in range(200) if i % 4} and kept[1] == kept[0] - {11} and kept[2] == kept[1]
     assert corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().count() == len(kept[3])
+
+
+def _block(tag, text, attributes=""):
+    return f"<{tag}{' ' + attributes if attributes else ''}>{text}</{tag}>"
+
+
+def test_html_templates_against_known_text(spark):
+    """Pages of many templates made from known blocks: headline and all sections stay, everything round them goes."""
+    from meridian.llm.htmltext import extract_pages
+
+    rng = random.Random(4)
+    noise = ['<nav><ul><li><a href="/">Home</a></li><li><a href="/b">Other</a></li></ul></nav>', '<div class="sidebar"><p>Side text that is long and of no interest here at all.</p></div>', '<div class="ad-box">Buy this now, it is cheap and good and new.</div>', '<section id="comments"><p>I do not agree with this article in any way.</p></section>', '<div class="cookie-banner">We use cookies.</div>', "<form><p>Your mail</p></form>", "<footer><p>All rights reserved by the site.</p></footer>", "<script>var p = '<p>no</p>';</script>"]
+
+    def sentence():
+        return " ".join(rng.choice("alpha beta gamma delta épsilon zeta".split()) for _ in range(rng.randint(4, 30)))
+
+    def page(template):
+        head, parts = sentence(), [[sentence() for _ in range(rng.randint(1, 4))] for _ in range(3)]
+        paragraphs = ["".join(_block("p", x) for x in part) for part in parts]
+        if template == 0:
+            body = _block("article", _block("h1", head) + "".join(paragraphs))
+        elif template == 1:
+            body = _block("div", _block("h1", head) + "".join(_block("div", x, f'class="part-{k}"') for k, x in enumerate(paragraphs)), 'class="post"')
+        elif template == 2:
+            body = _block("div", _block("h1", head) + _block("div", "".join(paragraphs), 'class="body"'), 'class="entry"')
+        else:
+            body = _block("main", _block("h2", head) + "".join(_block("section", x) for x in paragraphs))
+        round_ = rng.sample(noise, 4)
+        return "<html><body>" + "".join(round_[:2]) + body + "".join(round_[2:]) + "</body></html>", "\n".join([head, *(x for part in parts for x in part)])
+
+    made = [(i, *page(i % 4)) for i in range(120)]
+    rows = [(i, f"http://h{i % 7}.example/{i}" if i % 3 else "http://hot.example/", html) for i, html, _ in made]
+    found = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: text for i, _, text in made}
+
+
+def test_html_moves_by_host_beyond_the_sent_size(spark, monkeypatch):
+    from meridian.llm import htmltext
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", PAGE % i) for i in range(8)] + [(9, None, None)], "page_id long, url string, html string")
+    want = sorted(map(tuple, htmltext.extract_pages(pages).collect()), key=str)
+    monkeypatch.setattr(htmltext, "SENT_HOSTS", 0)
+    monkeypatch.setattr(htmltext, "HOT", 2)
+    assert sorted(map(tuple, htmltext.extract_pages(pages).collect()), key=str) == want

@@ -277,3 +277,24 @@ def test_packing_round_trip(spark):
             assert r["ids_crc32"] == zlib.crc32(part) and r["doc_tokens"] == len(want)
     with pytest.raises(ValueError):
         pack(frame(spark, texts), path, limit=1000)
+
+
+def test_substring_rows_that_share_an_id(spark):
+    """Each row is a document of its own: a passage that occurs once stays, whatever other rows with its id hold."""
+    from meridian.llm.substrings import digest, remove_repeats, repeats
+
+    u, w = (" ".join(f"{x}{i}" for i in range(25)) for x in "uw")
+    docs = spark.createDataFrame([(1, w, 0), (2, u, 0), (2, w, 1), (None, "n " * 3, 0), (None, u, 1), (None, None, 2)], "doc_id long, text string, starts int")
+    found = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in digest(repeats(docs)).collect()), key=str)
+    assert found == sorted([(1, 25, 0), (2, 25, 25), (2, 25, 25), (None, 3, 0), (None, 25, 0), (None, 0, 0)], key=str)
+    kept = {(r["doc_id"], r["starts"]): r["text"] for r in remove_repeats(docs).collect()}
+    assert kept == {(1, 0): w, (2, 0): "", (2, 1): "", (None, 0): "n " * 3, (None, 1): u, (None, 2): None}
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    from meridian.llm.jaccard import near_copies
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b + " more"), (4, a + " tail"), (9, c), (8, c + " end"), (5, a)], "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in near_copies(docs).collect()}
+    assert found == {(5, 3), (3, 3), (4, 3), (9, 8), (8, 8)}
