@@ -59,11 +59,12 @@ class PartVisitor:
         self._put(f"<|{kind}:{self.ordinal}|>")
 
     def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        handler = getattr(self, f"visit_{kind}", None)
+        kind = (part.get("type") or "text") if isinstance(part, dict) else None
+        handler = getattr(self, f"visit_{kind}", None) if isinstance(kind, str) else None
         if handler is None:
-            raise ValueError(f"unknown content part type {kind!r}")
-        handler(part)
+            self._put(escape(part if isinstance(part, str) else json.dumps(part, ensure_ascii=False)))
+        else:
+            handler(part)
 
     def visit_text(self, part: dict) -> None:
         self._put(escape(part.get("text") or ""))
@@ -78,11 +79,23 @@ class PartVisitor:
         self._attach("document", part.get("reference"), (part.get("pages") or 0) * self.page_tokens)
 
 
+def parts_of(content: str | None, text: str) -> list:
+    """The parts of a turn: of its JSON list; a null list has none; JSON that isn't a list, or no JSON, is one text part."""
+    if content is None:
+        return [{"type": "text", "text": text}]
+    try:
+        found = json.loads(content)
+    except ValueError:
+        found = content
+    return found if isinstance(found, list) else [] if found is None else [{"type": "text", "text": content}]
+
+
 def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
     """One row per turn, in order within its conversation: see ``FORMATTED``.
 
     turns: ``conv_id, turn, role, text``; other columns are ignored. parts_col: a string column holding a
-    JSON list of typed parts, used where it isn't null, else the text is the only part. ``loss_start`` and
+    JSON list of typed parts, used where it isn't null, else the text is the only part. A JSON null is a list
+    without parts; a part of an unknown type, and whatever isn't a JSON list, is text as it stands. ``loss_start`` and
     ``loss_end`` bound an assistant turn's content in ``formatted`` (null for other roles);
     ``expanded_tokens`` sums the turn's attachments. A null text is empty; a null role is an empty role;
     a null conversation id is a conversation; rows tied on turn are ordered by role, then text. An empty
@@ -101,7 +114,7 @@ def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
                 if conv != conversation:
                     conversation, ordinal = conv, 0
                 visitor = PartVisitor(ordinal)
-                for part in json.loads(parts) if isinstance(parts, str) else ({"type": "text", "text": text},):
+                for part in parts_of(parts if isinstance(parts, str) else None, text):
                     visitor.visit(part)
                 ordinal = visitor.ordinal
                 head, content = f"{START}{escape_role(role)}\n", "".join(visitor.text)

@@ -104,33 +104,40 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return materialise(_join(plan, cut, ["source"], "left"), "mix-plan")
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, seed: str = "mix-1", weight_col: str | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``: how often the mix takes each row.
+def _taken(docs: DataFrame, plan: DataFrame, seed: str, weight_col: str | None) -> DataFrame:
+    """``_in_0``... (the columns of ``docs``), ``size, source_size, target, copies``: how often the mix takes each row.
 
     The plan has a row per source, so the documents don't move where it is small enough to send round."""
-    plan = plan.select(*[F.col(c).alias(f"_plan_{c}") for c in plan.columns])
-    keyed = docs.withColumns({"_size": word_count(F.col("text")), "_class": _classes(docs, weight_col), "_source": F.col("source").cast("string")})
-    joined = keyed.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")) & (F.col("_class") == F.col("_plan_class")))
-    rank, doc = _rank(uniform(seed, F.col("doc_id").cast("long")), F.col("_plan_p")), F.col("doc_id").cast("long")
-    here = F.struct(rank.alias("rank"), doc.alias("doc_id"), F.col("_size").alias("size"))
-    cut = F.struct(F.col("_plan_cut_rank").alias("rank"), F.col("_plan_cut_doc").alias("doc_id"), F.col("_plan_cut_size").alias("size"))
-    taken = rank.isNotNull() & F.when(F.col("_plan_cut_rank").isNotNull(), here <= cut).otherwise(F.coalesce(rank < F.col("_plan_start_rank"), F.lit(False)))
-    return joined.select(*[docs[c] for c in docs.columns], F.col("_size").alias("mix_size"), F.col("_plan_source_size").alias("mix_source_size"), F.col("_plan_source_target").alias("mix_target"), (F.col("_plan_whole") + taken.cast("long")).alias("mix_copies"))
+    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in plan.columns])
+    inner = [f"_in_{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, inner, strict=True)], word_count(F.col("text")).alias("size"), _classes(docs, weight_col).alias("class"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc"))
+    joined = keyed.join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("class") == F.col("plan_class")))
+    rank = _rank(uniform(seed, F.col("doc")), F.col("plan_p"))
+    here = F.struct(rank.alias("rank"), F.col("doc").alias("doc_id"), "size")
+    cut = F.struct(F.col("plan_cut_rank").alias("rank"), F.col("plan_cut_doc").alias("doc_id"), F.col("plan_cut_size").alias("size"))
+    taken = rank.isNotNull() & F.when(F.col("plan_cut_rank").isNotNull(), here <= cut).otherwise(F.coalesce(rank < F.col("plan_start_rank"), F.lit(False)))
+    return joined.select(*inner, "size", F.col("plan_source_size").alias("source_size"), F.col("plan_source_target").alias("target"), (F.col("plan_whole") + taken.cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1", weight_col: str | None = None) -> DataFrame:
     """Every row of ``docs`` once, with how often it is taken: ``mix_size, mix_source_size, mix_target, mix_copies``.
 
-    docs: ``doc_id, source, text`` and any other columns, which pass through. A null or empty text has size
-    0; a null source is a source of its own, last in order; a source without words has target 0 and none of
-    its rows is taken beyond nothing. Rows equal in id, source and size are taken alike. An empty table
-    gives an empty one. The same rows and seed give the same copies whatever the partitioning."""
-    return with_copies(docs, mix_plan(docs, weights, share, most, seed, weight_col), seed, weight_col)
-
-
-def mixed(docs: DataFrame, **how) -> DataFrame:
+    docs: ``doc_id, source, text`` and any other columns, which pass through; a new column whose name ``docs``
+    has already gets underscores after it. A null or empty text has size 0; a null source is a source of its
+    own, last in order; a source without words has target 0 and none of its rows is taken beyond nothing. Rows
+    equal in id, source and size are taken alike. An empty table gives an empty one. The same rows and seed
+    give the same copies whatever the partitioning."""
+    out = _taken(docs, mix_plan(docs, weights, share, most, seed, weight_col), seed, weight_col)
+    names = list(docs.columns)
+    for name in ("mix_size", "mix_source_size", "mix_target", "mix_copies"):
+        while name in names:
+            name += "_"
+        names.append(name)
+    return out.toDF(*names)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix-1", weight_col: str | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **how)
-    return out.where("mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
-
-
+    out = _taken(docs, mix_plan(docs, weights, share, most, seed, weight_col), seed, weight_col).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])

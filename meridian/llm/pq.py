@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialise
+from meridian.llm.common import materialise, release
 from meridian.llm.components import components
 
 #: Vectors the index is fitted on at most (those with the smallest hash of their id); all are indexed.
@@ -98,15 +99,16 @@ class Index:
 
 
 def linked(index: Index, list_: int, a: np.ndarray, codes: np.ndarray, left: np.ndarray, b: np.ndarray, least: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) whose cosine is at least ``least``."""
+    """Pairs (row of a, row of b) whose cosine is at least ``least``: always the sum of the products in order of components."""
     near = np.sqrt(index.distances(list_, codes, b)) <= (radius + left)[:, None] + 1e-9
     share = near.mean()
-    if share == 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     if share > 0.02:
-        return np.nonzero(near & (a @ b.T >= least))
+        near &= a @ b.T >= least - 1e-9
     i, j = np.nonzero(near)
-    good = (a[i] * b[j]).sum(1) >= least
+    good = np.empty(len(i), dtype=bool)
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        good[part] = (a[i[part]] * b[j[part]]).sum(1) >= least
     return i[good], j[good]
 
 
@@ -115,21 +117,23 @@ def _kind(embeddings: DataFrame) -> str:
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
-    """vec_id, x (the vector's bytes, as wide as they came) of the vectors that can link: of the most frequent dimension, finite, not zero."""
+    """vec_id, d, x (dimension and bytes, as wide as they came) of the vectors that can link: finite, not zero."""
     kind = _kind(embeddings)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e")).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("e").alias("e"))
     rows = rows.where(F.col("e").isNotNull() & (F.size("e") > 0)).where(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).where(F.exists("e", lambda v: v != 0))
-    size = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if size is None:
-        return rows.select("vec_id", F.lit(None).cast("binary").alias("x")).where("false")
+    width = 4 if kind == "float" else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "x"])
+                lists = batch.column(1)
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
+                edges = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), data], ["vec_id", "d", "x"])
 
-    return rows.where(F.size("e") == size["d"]).mapInArrow(run, "vec_id long, x binary")
+    return rows.mapInArrow(run, "vec_id long, d int, x binary")
 
 
 def _matrix(column, kind: str) -> np.ndarray:
@@ -143,21 +147,32 @@ def _matrix(column, kind: str) -> np.ndarray:
 def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None = None, sample: int = SAMPLE, reach: float = REACH) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector: pairs link at a cosine of ``least`` or more.
 
-    embeddings: ``vec_id, embedding``; other columns are ignored. A null, empty or zero vector, one with a null
-    or non-finite component, or one of another dimension than most, links with nothing. Rows that share an id
-    are one vector (the smallest array). A null id is a row without links or component. An empty table gives
-    no rows. Lists are cut into blocks of ``BLOCK`` by hash; a task compares two blocks and gives counts and a
-    spanning star per component, never pairs, so a list that holds a third of all vectors is many tasks."""
-    spark, kind = embeddings.sparkSession, _kind(embeddings)
+    embeddings: ``vec_id, embedding``; other columns are ignored. A null, empty or zero vector, or one with a
+    null or non-finite component, links with nothing; vectors of each dimension have an index of their own.
+    Rows that share an id are one vector (the smallest array). A null id is a row without links or component.
+    An empty table gives no rows. Lists are cut into blocks of ``BLOCK`` by hash; a task compares two blocks
+    and gives counts and a spanning star per component, never pairs, so a list that holds a third of all
+    vectors is many tasks."""
+    kind = _kind(embeddings)
     ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     x = materialise(_valid(embeddings), "vectors")
-    n = x.count()
+    found = None
+    for row in x.groupBy("d").count().where("count > 1").orderBy("d").collect():
+        one = _links(x.where(F.col("d") == row["d"]), row["count"], kind, least, lists, sample, reach)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    groups = components(found.where("vec_id <> star").select(F.col("star").alias("a"), F.col("vec_id").alias("b"))).withColumnRenamed("node", "vec_id")
+    out = ids.join(counts, "vec_id", "left").join(groups, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def _links(x: DataFrame, n: int, kind: str, least: float, lists: int | None, sample: int, reach: float) -> DataFrame:
+    """vec_id, links, star of n vectors of one dimension: counts of links, and a smaller linked vector, by block."""
     radius = math.sqrt(max(0.0, 2 - 2 * least))
-    none = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if n < 2:
-        return none
     fitted = Index(_matrix(x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()["x"].to_pylist(), kind), lists or min(LISTS, max(1, n // PER_LIST)))
-    sent = spark.sparkContext.broadcast(fitted)
+    sent = x.sparkSession.sparkContext.broadcast(fitted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -173,7 +188,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None =
                 coded = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(own[rows].astype(np.int32)), pa.array(asks), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), coded, pa.array(left[rows])], ["list", "home", "asks", "vec_id", "x", "codes", "left"])
 
-    placed = materialise(x.mapInArrow(place, "list int, home int, asks boolean, vec_id long, x binary, codes binary, left double"), "placed")
+    placed = materialise(x.select("vec_id", "x").mapInArrow(place, "list int, home int, asks boolean, vec_id long, x binary, codes binary, left double"), "placed")
     # at most LISTS rows
     sizes = placed.groupBy("list").agg(F.count_if(~F.col("asks")).alias("members"), F.count_if(F.col("asks")).alias("asking"))
     sizes = sizes.select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("asking") / BLOCK).cast("int").alias("q"))
@@ -218,7 +233,5 @@ def near_vectors(embeddings: DataFrame, least: float = 0.95, lists: int | None =
 
     found = members.unionByName(asking).groupBy("list", "i", "j").applyInPandas(compare, "vec_id long, links long, star long")
     found = materialise(found, "vector-links")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    groups = components(found.where("vec_id <> star").select(F.col("star").alias("a"), F.col("vec_id").alias("b"))).withColumnRenamed("node", "vec_id")
-    out = ids.join(counts, "vec_id", "left").join(groups, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    release(placed)
+    return found

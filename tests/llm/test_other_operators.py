@@ -214,3 +214,27 @@ def test_html_moves_by_host_beyond_the_sent_size(spark, monkeypatch):
     monkeypatch.setattr(htmltext, "SENT_HOSTS", 0)
     monkeypatch.setattr(htmltext, "HOT", 2)
     assert sorted(map(tuple, htmltext.extract_pages(pages).collect()), key=str) == want
+
+
+def test_near_vectors_of_several_dimensions(spark):
+    """Equal vectors of a rare dimension link too; what the query's SQL says of the same table."""
+    import duckdb
+    from meridian.llm.pq import near_vectors
+    from meridian.llm.q_pq import SQL
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [5.0, -1.0]), (13, [7.0]), (14, [1.0, 2.0, 3.0, 4.0])]
+    found = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert found == sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({SQL})").fetchall())
+    assert (11, 1, 10, False) in found
+
+
+def test_chat_parts_that_are_not_a_list(spark):
+    from meridian.llm.chat import format_turns
+
+    rows = [(1, 0, "user", "t", "null"), (2, 0, "user", "t", "{bad"), (3, 0, "user", "t", '[{"type": "video", "reference": "v"}, "plain", null]'), (4, 0, "user", "t", '{"a": 1}')]
+    out = {r["conv_id"]: r["formatted"] for r in format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, content string"), "content").collect()}
+    assert out == {1: "<|im_start|>user\n<|im_end|>\n", 2: "<|im_start|>user\n{bad<|im_end|>\n", 3: '<|im_start|>user\n{"type": "video", "reference": "v"}plainnull<|im_end|>\n', 4: '<|im_start|>user\n{"a": 1}<|im_end|>\n'}

@@ -298,3 +298,18 @@ def test_jaccard_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(5, a), (5, b), (3, b + " more"), (4, a + " tail"), (9, c), (8, c + " end"), (5, a)], "doc_id long, text string")
     found = {(r["doc_id"], r["component_id"]) for r in near_copies(docs).collect()}
     assert found == {(5, 3), (3, 3), (4, 3), (9, 8), (8, 8)}
+
+
+def test_mixing_and_toxicity_keep_clashing_columns(spark):
+    from meridian.llm.mixing import mix, mixed
+    from meridian.llm.toxicity import fit, score
+
+    docs = spark.createDataFrame([(i, "w " * 5, "s", 7, 8, 9, 1.5) for i in range(20)], "doc_id long, text string, source string, _size int, _copy int, mix_copies int, toxicity double")
+    out = mix(docs)
+    assert out.columns == [*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies_"]
+    assert {(r["_size"], r["_copy"], r["mix_copies"]) for r in out.collect()} == {(7, 8, 9)}
+    rows = mixed(docs)
+    assert rows.columns == docs.columns and {(r["_size"], r["_copy"]) for r in rows.collect()} == {(7, 8)}
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    scored = score(docs, fit(docs, marks))
+    assert scored.columns == [*docs.columns, "toxicity_", "toxic_ratio"] and {r["toxicity"] for r in scored.collect()} == {1.5}
