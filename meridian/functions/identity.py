@@ -34,19 +34,24 @@ def normal_village(village: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(village, F.lit(""))), r"\.", " "), r"\s+", " "))
 
 
-def name_similarity(source: Column, reference: Column) -> Column:
+def name_similarity(source: Column, reference: Column, near: Column, shortest: Column) -> Column:
     """Share of the longer token set that the source's tokens match: 1 exact, 0.75 within one edit.
 
-    The near match needs three letters in the source token and in the shortest reference token."""
-    a, b = F.array_distinct(source), F.array_distinct(reference)
-    shortest = F.array_min(F.transform(b, F.length))
-    worth = F.transform(a, lambda t: F.when(F.array_contains(b, t), 1.0).when((F.array_min(F.transform(b, lambda r: F.levenshtein(t, r))) <= 1) & (F.least(F.length(t), shortest) >= 3), 0.75).otherwise(0.0))
-    total = F.aggregate(worth, F.lit(0.0), lambda s, x: s + x)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.least(F.lit(1.0), total / F.greatest(F.size(a), F.size(b))))
+    source, reference: distinct tokens or their hashes. near: of source tokens with three letters or more, ``token`` and
+    the reference tokens one edit ``away``. A near match also needs three letters in the reference's shortest token."""
+    exact = F.size(F.array_intersect(source, reference))
+    close = F.when((F.size(near) > 0) & (shortest >= 3), F.size(F.filter(near, lambda x: ~F.array_contains(reference, x["token"]) & F.arrays_overlap(x["away"], reference)))).otherwise(0)
+    return F.when((F.size(source) == 0) | (F.size(reference) == 0), 0.0).otherwise(F.least(F.lit(1.0), (exact + 0.75 * close) / F.greatest(F.size(source), F.size(reference))))
+
+
+def variants(token: Column) -> Column:
+    """A token and what is left of it without one letter: tokens one edit apart have one of these in common."""
+    return F.array_distinct(F.concat(F.array(token), F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))))
 
 
 def village_similarity(a: Column, b: Column) -> Column:
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.levenshtein(a, b) <= 1) & (F.least(F.length(a), F.length(b)) >= 5), 0.9).otherwise(0.0)
+    close = (F.abs(F.length(a) - F.length(b)) <= 1) & (F.least(F.length(a), F.length(b)) >= 5)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(close & (F.levenshtein(a, b, 1) >= 0), 0.9).otherwise(0.0)
 
 
 def age_similarity(a: Column, b: Column) -> Column:

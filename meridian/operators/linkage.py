@@ -19,46 +19,103 @@ FIELDS = ["name", "mobile", "village", "gender", "age"]
 def prepare_records(records: DataFrame) -> DataFrame:
     """Adds the normalised identity of each record and a key of it."""
     out = records.withColumns({"toks": identity.tokens(F.col("name")), "p4": identity.last4(F.col("mobile")), "vil": identity.normal_village(F.col("village")), "gen": F.lower(F.trim(F.coalesce("gender", F.lit("")))), "yrs": F.col("age").cast("double")})
-    return out.withColumn("identity", F.xxhash64("toks", "p4", "vil", "gen", "yrs"))
+    return out.withColumn("identity", F.md5(F.to_json(F.struct("toks", "p4", "vil", "gen", "yrs")).cast("binary")))
 
 
 def prepare_entities(entities: DataFrame) -> DataFrame:
-    return entities.select("entity_id", identity.tokens(F.col("name")).alias("e_toks"), F.col("phone4").alias("e_p4"), identity.normal_village(F.col("village")).alias("e_vil"), F.lower(F.trim(F.coalesce("gender", F.lit("")))).alias("e_gen"), F.col("age").cast("double").alias("e_age"))
+    return entities.select("entity_id", identity.tokens(F.col("name")).alias("e_toks"), F.col("phone4").alias("e_p4"), identity.normal_village(F.col("village")).alias("e_vil"), F.lower(F.trim(F.coalesce("gender", F.lit("")))).alias("e_gen"), F.col("age").cast("double").alias("e_age")).withColumns({"e_set": _hashed("e_toks"), "e_shortest": F.array_min(F.transform("e_toks", F.length))})
+
+
+def _hashed(tokens: str):
+    """Distinct tokens as 64-bit hashes, which compare faster."""
+    return F.transform(F.array_distinct(tokens), lambda t: F.xxhash64(t))
+
+
+IDENTITY = ["identity", "toks", "p4", "vil", "gen", "yrs"]
+ENTITY = ["entity_id", "e_toks", "e_p4", "e_vil", "e_gen", "e_age", "e_set", "e_shortest"]
+
+
+def _prefixes(tokens: str):
+    return F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, 4)))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Deals identities over all cores: a few bytes of them make many pairs, so their size says nothing about the work."""
+    context = rows.sparkSession.sparkContext
+    n = max(2 * context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "identity")
 
 
 def candidates(identities: DataFrame, entities: DataFrame, cap: int = DEFAULT.candidate_cap) -> DataFrame:
-    """``identity, entity_id, via``: entities with the same last four digits; for identities without any,
-    entities that share the first four letters of a name token. Tokens are taken in order until more than
-    ``cap`` candidates have been gathered (counted per token before)."""
-    ids = identities.select("identity", "toks", "p4")
-    by_phone = ids.where("p4 <> ''").join(entities, F.col("p4") == F.col("e_p4")).select("identity", "entity_id", F.lit("phone4").alias("via"))
-    prefix = entities.select("entity_id", F.explode(F.array_distinct(F.transform("e_toks", lambda t: F.substring(t, 1, 4)))).alias("prefix"))
+    """Pairs of all columns of both sides and ``via``: entities with the same last four digits; for identities without
+    any, entities that share the first four letters of a name token. Tokens are taken in order until more than
+    ``cap`` candidates have been gathered (counted per token before). Either side's columns move once, with its
+    key; a pair that shares several taken tokens is made at the first of them only, so nothing is deduplicated."""
+    phones = entities.select(F.col("e_p4").alias("_p4")).distinct()
+    by_phone = _spread(identities.where("p4 <> ''")).join(entities, F.col("p4") == F.col("e_p4")).withColumn("via", F.lit("phone4"))
+    prefix = entities.withColumn("e_prefixes", _prefixes("e_toks")).withColumn("prefix", F.explode("e_prefixes"))
     sizes = prefix.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    rest = ids.join(by_phone.select("identity").distinct(), "identity", "left_anti")
-    asked = rest.select("identity", F.posexplode(F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 4)))).alias("at", "prefix")).join(sizes, "prefix")
+    rest = identities.join(phones.where("_p4 <> ''"), F.col("p4") == F.col("_p4"), "left_anti")
+    asked = rest.select("identity", F.posexplode(_prefixes("toks")).alias("at", "prefix")).join(sizes, "prefix")
     before = F.sum("n").over(Window.partitionBy("identity").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     taken = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= cap)
-    by_name = taken.select("identity", "prefix").join(prefix, "prefix").select("identity", "entity_id", F.lit("name").alias("via")).distinct()
-    return by_phone.unionByName(by_name)
+    taken = taken.groupBy("identity").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "prefix"))), lambda x: x["prefix"]).alias("taken"))
+    named = _spread(rest.join(taken, "identity")).withColumn("prefix", F.explode("taken"))
+    by_name = named.join(prefix, "prefix").where((F.size("taken") == 1) | (F.element_at(F.array_intersect("taken", "e_prefixes"), 1) == F.col("prefix")))
+    columns = [c for c in identities.columns if c not in IDENTITY]
+    return by_phone.unionByName(by_name.withColumn("via", F.lit("name")).select(*by_phone.columns)).select(*IDENTITY, *columns, *ENTITY, "via")
+
+
+def near_tokens(identities: DataFrame, entities: DataFrame) -> DataFrame:
+    """``identity, near``: of each identity's tokens, those that entity tokens are one edit away from (three letters or more), with
+    these tokens. Only distinct tokens are compared, where they share a variant."""
+    def words(rows: DataFrame, tokens: str, name: str) -> DataFrame:
+        return rows.select(F.explode(tokens).alias(name)).distinct().where(F.length(name) >= 2).withColumn("variant", F.explode(identity.variants(F.col(name))))
+
+    pairs = words(identities, "toks", "token").where(F.length("token") >= 3).join(words(entities, "e_toks", "other"), "variant")
+    pairs = pairs.where((F.col("token") != F.col("other")) & (F.levenshtein("token", "other", 1) >= 0)).groupBy("token").agg(F.collect_set("other").alias("away"))
+    used = identities.select("identity", F.explode(F.array_distinct("toks")).alias("token")).join(pairs, "token")
+    hashed = F.struct(F.xxhash64("token").alias("token"), F.transform("away", lambda t: F.xxhash64(t)).alias("away"))
+    return used.groupBy("identity").agg(F.collect_list(hashed).alias("near"))
+
+
+def _similarities() -> dict:
+    return {"phone": ((F.col("p4") == F.col("e_p4")) & (F.col("p4") != "")).cast("double"), "name_s": identity.name_similarity(F.col("set"), F.col("e_set"), F.col("near"), F.col("e_shortest")), "village_s": identity.village_similarity(F.col("vil"), F.col("e_vil")), "gender_s": identity.same(F.col("gen"), F.col("e_gen")), "age_s": identity.age_similarity(F.col("yrs"), F.col("e_age"))}
+
+
+def _sides(records: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ids = prepare_records(records).dropDuplicates(["identity"]).select(*IDENTITY)
+    known = prepare_entities(entities)
+    ids = ids.join(near_tokens(ids, known), "identity", "left")
+    return ids.withColumns({"near": F.coalesce("near", F.array().cast("array<struct<token:bigint,away:array<bigint>>>")), "set": _hashed("toks")}), known
 
 
 def scored(records: DataFrame, entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Every candidate pair of every distinct identity with its similarities, score and evidence."""
-    ids = prepare_records(records).dropDuplicates(["identity"]).select("identity", "toks", "p4", "vil", "gen", "yrs")
-    known = prepare_entities(entities)
-    pairs = candidates(ids, known, settings.candidate_cap).join(ids, "identity").join(known, "entity_id")
-    similar = {"phone": ((F.col("p4") == F.col("e_p4")) & (F.col("p4") != "")).cast("double"), "name_s": identity.name_similarity(F.col("toks"), F.col("e_toks")), "village_s": identity.village_similarity(F.col("vil"), F.col("e_vil")), "gender_s": identity.same(F.col("gen"), F.col("e_gen")), "age_s": identity.age_similarity(F.col("yrs"), F.col("e_age"))}
+    ids, known = _sides(records, entities)
+    return _with_score(candidates(ids, known, settings.candidate_cap), settings)
+
+
+def _with_score(pairs: DataFrame, settings: Settings) -> DataFrame:
+    similar = _similarities()
     pairs = pairs.withColumns(similar)
     score = sum((F.lit(w) * F.col(c) for w, c in zip(settings.weights[1:], list(similar)[1:], strict=True)), F.lit(settings.weights[0]) * F.col("phone"))
     evidence = F.array_compact(F.array(F.when(F.col("phone") > 0, "phone4"), F.when(F.col("name_s") >= 1, "name_exact").when(F.col("name_s") >= 0.75, "name_fuzzy"), F.when(F.col("village_s") > 0, "village"), F.when(F.col("gender_s") > 0, "gender"), F.when(F.col("age_s") == 1, "age_exact")))
     return pairs.withColumns({"score": F.round(score, 9), "evidence": F.concat_ws(";", evidence)})
 
 
-def best(pairs: DataFrame) -> DataFrame:
-    """Per identity the best candidate, the runner-up's score (0 without one) and the margin; ties go to the smaller id."""
+def best(records: DataFrame, entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Per identity the best candidate with all its columns, the runner-up's score (0 without one) and the margin; ties go to the
+    smaller id.
+
+    Only ids and scores are ranked; each task keeps the two best of an identity before anything moves."""
+    ids, known = _sides(records, entities)
+    pairs = _with_score(candidates(ids, known, settings.candidate_cap), settings).select("identity", "entity_id", "score")
     order = Window.partitionBy("identity").orderBy(F.desc("score"), "entity_id")
-    top = pairs.withColumns({"rn": F.row_number().over(order), "next": F.lead("score").over(order)}).where("rn = 1")
-    return top.withColumns({"runner_up": F.coalesce("next", F.lit(0.0)), "margin": F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 9)}).drop("rn", "next")
+    two = pairs.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
+    top = two.withColumn("next", F.lead("score").over(order)).where("rn = 1").select("identity", "entity_id", F.coalesce("next", F.lit(0.0)).alias("runner_up"))
+    found = _with_score(top.join(ids, "identity").join(known, "entity_id"), settings)
+    return found.withColumn("margin", F.round(F.col("score") - F.col("runner_up"), 9))
 
 
 def decide(top: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -72,7 +129,7 @@ def decide(top: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def audit(records: DataFrame, entities: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """One row per record: match, score, runner-up, margin, confidence, evidence."""
-    decided = decide(best(scored(records, entities, settings)), settings).select("identity", "entity_id", "score", "runner_up", "margin", "confidence", "evidence")
+    decided = decide(best(records, entities, settings), settings).select("identity", "entity_id", "score", "runner_up", "margin", "confidence", "evidence")
     out = prepare_records(records).select("source_system", "source_id", "mobile", "identity").join(decided, "identity", "left").withColumn("confidence", F.coalesce("confidence", F.lit("none")))
     matched = F.col("confidence") != "none"
     return out.select("source_system", "source_id", "mobile", matched.cast("int").alias("matched"), F.when(matched, F.col("entity_id")).alias("entity_id"), *[(F.rint(F.coalesce(c, F.lit(0.0)) * 1000) / 1000).alias(n) for c, n in (("score", "match_score"), ("runner_up", "runner_up_score"), ("margin", "margin"))], "confidence", F.coalesce("evidence", F.lit("")).alias("evidence"))

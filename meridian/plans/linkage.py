@@ -113,7 +113,7 @@ def link_union_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("link_block_candidates", f"WITH {_NORM}{_CAND} SELECT r.source_system, r.source_id, via, count(*) AS candidates FROM r JOIN c ON r.toks = c.toks AND r.p4 = c.p4 AND r.vil = c.vil AND r.gen = c.gen AND r.yrs IS NOT DISTINCT FROM c.yrs GROUP BY ALL")
 def link_block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = linkage.prepare_records(registers(spark, sf_dir))
-    found = linkage.candidates(records.dropDuplicates(["identity"]), linkage.prepare_entities(entities(spark, sf_dir)))
+    found = linkage.candidates(records.dropDuplicates(["identity"]).select(*linkage.IDENTITY), linkage.prepare_entities(entities(spark, sf_dir)))
     counted = found.groupBy("identity", "via").agg(F.count(F.lit(1)).alias("candidates"))
     return records.select("source_system", "source_id", "identity").join(counted, "identity").select("source_system", "source_id", "via", "candidates")
 
@@ -126,7 +126,7 @@ def link_name_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("link_score_top2_margin", f"WITH {_NORM}{_CAND}{_SIM}{_TOP} SELECT array_to_string(toks, ' ') AS name, p4, vil AS village, gen AS gender, coalesce(yrs, -1) AS age, entity_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, round(margin, 6) AS margin FROM t")
 def link_score_top2_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = linkage.best(linkage.scored(registers(spark, sf_dir), entities(spark, sf_dir)))
+    top = linkage.best(registers(spark, sf_dir), entities(spark, sf_dir))
     return top.select(F.array_join("toks", " ").alias("name"), "p4", F.col("vil").alias("village"), F.col("gen").alias("gender"), F.coalesce("yrs", F.lit(-1.0)).alias("age"), "entity_id", *[F.round(c, 6).alias(c) for c in ("score", "runner_up", "margin")])
 
 

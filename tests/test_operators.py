@@ -26,8 +26,9 @@ def test_phones(spark, phone, want, last):
 
 @pytest.mark.parametrize(("a", "b", "want"), [("mohn laxman", "mohan laxman", 0.875), ("a b", "a", 0.5), ("", "x", 0.0), ("rao x", "raa x", 0.5)])
 def test_name_similarity(spark, a, b, want):
-    rows = spark.createDataFrame([(a, b)], "a string, b string")
-    assert one(rows, identity.name_similarity(identity.tokens(F.col("a")), identity.tokens(F.col("b")))) == pytest.approx(want)
+    records = spark.createDataFrame([("s", "1", a, "x1234", "v", "f", 1)], "source_system string, source_id string, name string, mobile string, village string, gender string, age int")
+    entities = spark.createDataFrame([(1, b, "1234", "v", "f", 1)], "entity_id long, name string, phone4 string, village string, gender string, age int")
+    assert linkage.scored(records, entities).first()["name_s"] == pytest.approx(want)
 
 
 def test_village_and_age_similarity(spark):
