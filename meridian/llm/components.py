@@ -17,19 +17,21 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     return moved.where("a < b").distinct()
 
 
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none that has one is another's."""
+    roles = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    found = roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return found.where("below + above > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for every node of ``links`` (``a, b``, any order).
 
     Every node ends as a star round its component's smallest node; a few rounds do, each written to the
     shared folder and deleted once the next is there. Nodes without links aren't in the result."""
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    before = None
-    while True:
+    while not _stars_only(edges):
         last, edges = edges, materialise(_star(_star(edges, True), False), "stars")
         release(last)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            break
-        before = now
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -38,7 +38,7 @@ FEW, BLOCK, CHUNK = 16, 512, 4096
 #: Ids that may be sent to every executor: 32 MB of them.
 SENT_IDS = 4_000_000
 #: Rounds in which members are compared with leaders only.
-ROUNDS = 2
+ROUNDS = 1
 #: Parts in which overlaps are counted.
 PARTS = 4
 
