@@ -194,7 +194,12 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     so a passage in a third of all documents meets in a task once per stretch, not once per document. The
     joins build on the starts of a partition's documents, a few bytes for a word of repeated text at most."""
     rows = _keyed(docs, [])
-    return rows.join(_starts(rows, docs, window).hint("shuffle_hash"), "doc", "left").select("id", "text", "starts")
+    own = F.when(F.col("doc") != NULL_ID, F.col("doc"))
+    if hasattr(rows, "_scratch"):
+        own = F.col("id")
+    else:  # both joins then read one exchange of the texts
+        rows = rows.select("doc", "text")
+    return rows.join(_starts(rows, docs, window).hint("shuffle_hash"), "doc", "left").select(own.alias("id"), "text", "starts")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[bytes]]]:
