@@ -26,6 +26,11 @@ def strictly_before(key: str, instant: str) -> Window:
     return Window.partitionBy(key).orderBy(micros(F.col(instant))).rangeBetween(Window.unboundedPreceding, -1)
 
 
+def up_to(key: str, instant: str) -> Window:
+    """The frame of rows of the same key with an earlier or equal instant."""
+    return Window.partitionBy(key).orderBy(micros(F.col(instant))).rangeBetween(Window.unboundedPreceding, 0)
+
+
 def history(rows: DataFrame, key: str, instant: str, aggregates: dict[str, Column]) -> DataFrame:
     """Adds aggregates over the rows of the same table and key that are strictly earlier."""
     frame = strictly_before(key, instant)
@@ -44,13 +49,15 @@ def latest(spine: DataFrame, events: DataFrame, key: str, instant: str, payload:
     return _timeline(spine, events, key, instant, payload).withColumn("latest", F.max("_payload").over(frame)).where("_event IS NULL").drop("_event", "_payload")
 
 
-def latest_k(spine: DataFrame, events: DataFrame, key: str, instant: str, order: list[str], payload: list[str], k: int, row_id: str) -> DataFrame:
+def latest_k(spine: DataFrame, events: DataFrame, key: str, instant: str, order: list[str], payload: list[str], k: int, inclusive: bool = False) -> DataFrame:
     """One row per spine row and each of its last ``k`` events before it: the spine's columns and ``payload``.
 
+    ``inclusive``: events at the very instant of the spine row count too, as for a ledger that is closed by then.
+
     Events are numbered within their key; a spine row knows from its timeline how many came before it and
     asks for the last k numbers, an equi-join whose size is k rows a spine row."""
     timeline = _timeline(spine, events, key, instant, payload)
-    before = timeline.withColumn("_n", F.count("_event").over(strictly_before(key, instant))).where("_event IS NULL").drop("_event", "_payload")
+    before = timeline.withColumn("_n", F.count("_event").over((up_to if inclusive else strictly_before)(key, instant))).where("_event IS NULL").drop("_event", "_payload")
     asked = before.where("_n > 0").withColumn("_seq", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - (k - 1)), F.col("_n"))))
     numbered = events.select(F.col(key).alias("_key"), F.row_number().over(Window.partitionBy(key).orderBy(instant, *order)).cast("long").alias("_seq_event"), *payload)
     return asked.join(numbered, (F.col(key) == F.col("_key")) & (F.col("_seq") == F.col("_seq_event"))).drop("_key", "_seq_event", "_n", "_seq")

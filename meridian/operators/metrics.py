@@ -1,21 +1,20 @@
 """Exact evaluation metrics as plans: ranking, thresholds, calibration, confusion, subgroups.
 
-Rows are reduced to counts per distinct score first; what is sorted in one place afterwards are distinct
-scores, not rows (round scores to bound their number where they are continuous).
+Rows are reduced to counts per distinct score first; running totals over these are taken in buckets of scores.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from meridian.operators.ranks import running
 
 
 def by_score(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """Per distinct score: positives, negatives, and both at this score or above."""
     counts = rows.select(score.cast("double").alias("score"), label.cast("int").alias("y")).where("score IS NOT NULL AND y IS NOT NULL").groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    return running(counts, "score", ["pos", "neg"], descending=True).withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
 
 
 def ranking(rows: DataFrame, score: Column, label: Column) -> DataFrame:
@@ -32,8 +31,8 @@ def brier(rows: DataFrame, score: Column, label: Column) -> DataFrame:
 def curve(rows: DataFrame, score: Column, label: Column) -> DataFrame:
     """ROC and precision-recall points, one per distinct score."""
     points = by_score(rows, score, label)
-    whole = Window.partitionBy(F.lit(0))
-    return points.withColumns({"_p": F.sum("pos").over(whole), "_n": F.sum("neg").over(whole)}).select("score", (F.col("tp") / F.col("_p")).alias("recall"), (F.col("fp") / F.col("_n")).alias("fall_out"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    sums = points.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return points.crossJoin(F.broadcast(sums)).select("score", (F.col("tp") / F.col("_p")).alias("recall"), (F.col("fp") / F.col("_n")).alias("fall_out"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -50,12 +49,22 @@ def at_threshold(rows: DataFrame, predicted: Column, label: Column, by: list[str
 
 
 def at_top(rows: DataFrame, score: Column, label: Column, key: str, shares: list[float]) -> DataFrame:
-    """Precision and recall among the best-scored share of rows (at least one row; ties by key)."""
-    whole = Window.partitionBy(F.lit(0))
-    ranked = rows.select(F.row_number().over(whole.orderBy(score.desc(), key)).alias("rank"), label.cast("int").alias("y"), F.count(F.lit(1)).over(whole).alias("n"), F.sum(label.cast("int")).over(whole).alias("pos"))
-    asked = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-    top = asked.where(F.col("rank") <= F.greatest(F.floor(F.col("n") * F.col("share")), F.lit(1)))
-    return top.groupBy("share").agg(F.count(F.lit(1)).alias("k"), F.avg("y").alias("precision"), (F.sum("y") / F.first("pos")).alias("recall"))
+    """Precision and recall among the best-scored share of rows (at least one row; ties by ``key``, a number).
+
+    A missing score is the lowest. Of rows with equal scores and keys those of label 0 count first. No rows, no shares."""
+    base = rows.select(F.coalesce(score.cast("double"), F.lit(float("-inf"))).alias("s"), F.col(key).alias("key"), F.coalesce(label.cast("int"), F.lit(0)).alias("y"))
+    tally = (F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
+    counts = base.groupBy("s").agg(*tally)
+    totals = base.agg(F.count(F.lit(1)).alias("all"), F.sum("y").alias("all_pos"))
+    asked = running(counts, "s", ["n", "pos"], descending=True).crossJoin(F.broadcast(totals)).withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    asked = asked.withColumn("k", F.greatest(F.floor(F.col("all") * F.col("share")), F.lit(1)))
+    # a row for each share: the score at which it ends
+    cuts = asked.where("run_n >= k AND run_n - n < k").select("s", "share", "k", "all_pos", (F.col("k") - F.col("run_n") + F.col("n")).alias("room"), (F.col("run_pos") - F.col("pos")).alias("above"))
+    ties = running(base.join(F.broadcast(cuts.select("s", "share", "room")), "s").groupBy("share", "room", "key").agg(*tally), "key", ["n", "pos"], within=("share", "room"))
+    left = F.col("room") - (F.col("run_n") - F.col("n"))
+    taken = ties.where("run_n - n < room").groupBy("share").agg(F.sum(F.when(left >= F.col("n"), F.col("pos")).otherwise(F.greatest(F.lit(0), left - (F.col("n") - F.col("pos"))))).alias("taken"))
+    hits = F.col("above") + F.col("taken")
+    return cuts.join(taken, "share").select("share", "k", (hits / F.col("k")).alias("precision"), F.when(F.col("all_pos") > 0, hits / F.col("all_pos")).alias("recall"))
 
 
 def calibration(rows: DataFrame, score: Column, label: Column, bins: int = 8) -> DataFrame:
@@ -64,9 +73,10 @@ def calibration(rows: DataFrame, score: Column, label: Column, bins: int = 8) ->
 
 
 def confusion(rows: DataFrame, actual: str, predicted: str, classes: list[str]) -> DataFrame:
-    """A row per class in fixed order, a column per predicted class."""
+    """A row per class in fixed order, a column per predicted class; a class that doesn't occur has zeros."""
     counts = rows.groupBy(F.col(actual).alias("actual")).agg(*[F.count_if(F.col(predicted) == c).alias(c) for c in classes])
-    return counts.where(F.col("actual").isin(*classes))
+    all_classes = rows.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("_at", "actual"))
+    return all_classes.join(counts, "actual", "left").orderBy("_at").select("actual", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in classes])
 
 
 def macro_f1(rows: DataFrame, actual: str, predicted: str) -> DataFrame:

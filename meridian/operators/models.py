@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,7 +30,10 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def estimator(kind: str, label: str = "label", seed: int = 42, **settings):
-    """A pipeline stage by name: ``logistic``, ``forest`` or ``boosted``."""
+    """A pipeline stage by name: ``logistic``, ``forest``, ``boosted``, or a stand-in for libraries that Spark hasn't.
+
+    ``depthwise`` (``max_depth``) and ``leafwise`` (``num_leaves``, ``min_child_samples``) are boosted trees whose rows
+    and columns are sampled; Spark grows trees by level, so leaves bound the depth of a ``leafwise`` tree."""
     common = {"featuresCol": "features", "labelCol": label}
     if kind == "logistic":
         return LogisticRegression(**common, **({"maxIter": 100, "elasticNetParam": 0.0, "standardization": False} | settings))
@@ -36,10 +41,19 @@ def estimator(kind: str, label: str = "label", seed: int = 42, **settings):
         return RandomForestClassifier(**common, seed=seed, **({"numTrees": 50, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 10, "maxDepth": 10} | settings))
     if kind == "boosted":
         return GBTClassifier(**common, seed=seed, **({"maxIter": 20, "stepSize": 0.1, "maxDepth": 3, "subsamplingRate": 0.9} | settings))
+    sampled = {"maxIter": 400, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8"}
+    if kind == "depthwise":
+        return GBTClassifier(**common, seed=seed, **(sampled | {"maxDepth": settings.pop("max_depth", 4)} | settings))
+    if kind == "leafwise":
+        leaves, least = settings.pop("num_leaves", 31), settings.pop("min_child_samples", 30)
+        return GBTClassifier(**common, seed=seed, **(sampled | {"maxDepth": math.ceil(math.log2(leaves)), "minInstancesPerNode": least} | settings))
     raise ValueError(f"unknown kind of model {kind!r}")
 
 
 def fit(rows: DataFrame, features: list[str], kind: str, **settings) -> PipelineModel:
+    """``C`` of a logistic model is the inverse strength of its penalty on scaled features: ``regParam`` is 1 / (C n)."""
+    if (c := settings.pop("C", None)) is not None:
+        settings |= {"regParam": 1 / (c * max(1, rows.count())), "standardization": True}
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), estimator(kind, **settings)]).fit(rows)
 
 
@@ -70,6 +84,23 @@ def tune(train: DataFrame, valid: DataFrame, features: list[str], kind: str, gri
     return best
 
 
+def compare(train: DataFrame, valid: DataFrame, features: list[str], candidates: dict[str, list[dict]], inner: tuple[DataFrame, DataFrame]) -> list[tuple[str, dict, DataFrame]]:
+    """Of the prevalence in ``train`` and of each kind of model: its name, its settings, and its metrics on ``valid``.
+
+    Where a kind has several settings, those with the best average precision on ``inner`` (train, valid) are taken."""
+    rate = train.agg(F.avg("label").alias("p"))
+    found = [("prevalence", {}, evaluate(valid.crossJoin(F.broadcast(rate))))]
+    for kind, grid in candidates.items():
+        settings = grid[0] if len(grid) == 1 else tune(*inner, features, kind, grid)[0]
+        found.append((kind, settings, evaluate(score(fit(train, features, kind, **settings), valid))))
+    return found
+
+
+def refit(development: DataFrame, features: list[str], kind: str, settings: dict) -> PipelineModel:
+    """The chosen kind, fitted anew on all development rows, its training and validation rows together."""
+    return fit(development, features, kind, **settings)
+
+
 def permuted(rows: DataFrame, feature: str, key: str, seed: int) -> DataFrame:
     """``rows`` with one feature's values dealt out anew: the values in order of one hash meet the rows in order of another.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meridian.config import DEFAULT
+from meridian.operators.ranks import quantile, running
 
 
 def masked_argmax(probabilities: Column, allowed: Column, names: list[str], none: str) -> Column:
@@ -18,7 +19,7 @@ def masked_argmax(probabilities: Column, allowed: Column, names: list[str], none
 
 def median_gate(rows: DataFrame, score: str, calibration: DataFrame, stage: Column, below: str) -> DataFrame:
     """Adds ``gate`` (median calibration score) and ``stage``: as given at or above the gate, else ``below``."""
-    gate = calibration.agg(F.median(score).alias("gate"))
+    gate = quantile(calibration, score, 0.5, "gate")
     return rows.crossJoin(F.broadcast(gate)).withColumn("stage", F.when(F.col(score) >= F.col("gate"), stage).otherwise(F.lit(below)))
 
 
@@ -27,11 +28,12 @@ def priority(risk: Column, urgency: Column, feasibility: Column, weights: tuple[
     return weights[0] * risk + weights[1] * urgency + weights[2] * urgency + weights[3] * feasibility
 
 
-def cut_offs(calibration: DataFrame, score: str, key: str, shares: tuple[float, ...] = DEFAULT.tier_shares) -> DataFrame:
-    """One row: for each share c the score of rank floor(c * n), at least 1, in descending order."""
-    whole = Window.partitionBy(F.lit(0))
-    ranked = calibration.select(F.col(score).alias("s"), F.row_number().over(whole.orderBy(F.desc(score), key)).alias("rank"), F.count(F.lit(1)).over(whole).alias("n"))
-    return ranked.agg(*[F.max(F.when(F.col("rank") == F.greatest(F.floor(F.col("n") * c), F.lit(1)), F.col("s"))).alias(f"cut_{i + 1}") for i, c in enumerate(shares)])
+def cut_offs(calibration: DataFrame, score: str, shares: tuple[float, ...] = DEFAULT.tier_shares) -> DataFrame:
+    """One row: for each share c the score of rank floor(c * n), at least 1, in descending order; missing scores come last."""
+    counts = calibration.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    total = calibration.agg(F.count(F.lit(1)).alias("all"))
+    ranked = running(counts.where("s IS NOT NULL"), "s", ["n"], descending=True).crossJoin(F.broadcast(total))
+    return ranked.agg(*[F.max(F.when(F.col("run_n") >= F.greatest(F.floor(F.col("all") * c), F.lit(1)), F.col("s"))).alias(f"cut_{i + 1}") for i, c in enumerate(shares)])
 
 
 def tiers(rows: DataFrame, score: str, cuts: DataFrame) -> DataFrame:

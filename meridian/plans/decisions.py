@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.operators import queue
+from meridian.operators.ranks import quantile
 from meridian.plans.registry import register, table
 
 _STAGE = "CASE o_orderstatus WHEN 'F' THEN 'Medicine' WHEN 'O' THEN 'Test' ELSE 'Review' END"
@@ -30,7 +31,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumns({"risk": F.expr(_RISK), "stage": F.expr(_STAGE)}).join(stages, "stage", "left")
     rows = rows.withColumn("priority", queue.priority(F.col("risk"), F.col("urgency"), F.col("feasibility")))
     early = F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")
-    return queue.tiers(rows.where(~early), "priority", queue.cut_offs(rows.where(early), "priority", "o_orderkey"))
+    return queue.tiers(rows.where(~early), "priority", queue.cut_offs(rows.where(early), "priority"))
 
 
 @register("priority_score_tiers", f"WITH {_PRI} SELECT o_orderkey, stage, action, round(priority, 6) AS priority, tier FROM t")
@@ -68,7 +69,7 @@ SELECT o_orderkey, CASE WHEN len(f) = 0 THEN 'General follow-up' ELSE array_to_s
 """)
 def reasons_first3(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    large = orders.where("o_orderdate < TIMESTAMP_NTZ '1999-01-01'").agg(F.percentile("o_totalprice", 0.75).alias("large"))
+    large = quantile(orders.where("o_orderdate < TIMESTAMP_NTZ '1999-01-01'"), "o_totalprice", 0.75, "large")
     rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").crossJoin(F.broadcast(large))
     rules = [(F.col("o_totalprice") > F.col("large"), F.lit("large order")), (F.col("c_acctbal") < 0, F.lit("in debt")), (F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.concat(F.lit("priority "), "o_orderpriority")), (F.col("c_mktsegment") == "BUILDING", F.lit("building")), (F.col("o_orderstatus") == "P", F.lit("partial"))]
     return rows.select("o_orderkey", queue.reasons(rules).alias("reason"))

@@ -40,23 +40,37 @@ SELECT l_suppkey, l_partkey % 6 AS item, date_trunc('month', l_shipdate) AS mont
 """
 
 
-@register("asof_latest_k_stock", f"""
+def _latest_stock_sql(before: str) -> str:
+    return f"""
 WITH ledger AS ({_LEDGER}), spine AS (SELECT DISTINCT l_suppkey, month FROM ledger),
 ranked AS (
   SELECT s.l_suppkey, s.month, g.low, g.stockout, row_number() OVER (PARTITION BY s.l_suppkey, s.month ORDER BY g.month DESC, g.item DESC) AS rn
-  FROM spine s JOIN ledger g ON s.l_suppkey = g.l_suppkey AND g.month < s.month
+  FROM spine s JOIN ledger g ON s.l_suppkey = g.l_suppkey AND g.month {before} s.month
 )
 SELECT l_suppkey, strftime(month, '%Y-%m') AS month, count(*) AS n, round(avg(low::INT), 6) AS low_share, round(avg(stockout::INT), 6) AS stockout_rate FROM ranked WHERE rn <= 6 GROUP BY l_suppkey, ranked.month
-""")
-def asof_latest_k_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+def _latest_stock(spark: SparkSession, sf_dir: str, inclusive: bool) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     ledger = lines.groupBy("l_suppkey", (F.col("l_partkey") % 6).alias("item"), F.date_trunc("month", "l_shipdate").alias("month")).agg((F.sum("l_quantity") < 40).alias("low"), (F.max("l_returnflag") == "R").alias("stockout"))
     spine = ledger.select("l_suppkey", "month").distinct()
-    last = asof.latest_k(spine, ledger, "l_suppkey", "month", ["item"], ["low", "stockout"], 6, "l_suppkey")
+    last = asof.latest_k(spine, ledger, "l_suppkey", "month", ["item"], ["low", "stockout"], 6, inclusive)
     rates = last.groupBy("l_suppkey", "month").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(name) for c, name in (("low", "low_share"), ("stockout", "stockout_rate"))])
     return rates.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
+@register("asof_latest_k_stock", _latest_stock_sql("<"))
+def asof_latest_k_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest_stock(spark, sf_dir, inclusive=False)
+
+
+@register("asof_latest_k_stock_inclusive", _latest_stock_sql("<="))
+def asof_latest_k_stock_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the instant's own month counts too."""
+    return _latest_stock(spark, sf_dir, inclusive=True)
+
+
 _BANDS = """
 WITH ep AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
 pr AS (SELECT e.event_id, e.ts AS t, p.event_id AS prior_id, p.ts AS d0, e.user_id FROM ep e JOIN ep p ON e.user_id = p.user_id AND p.ts < e.ts)

@@ -94,9 +94,37 @@ def median_impute_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.round("quality", 6).alias("quality"), F.round("n_chars", 6).alias("n_chars"))
 
 
-@register("column_verdicts", """
-SELECT * FROM (VALUES ('orders', 'o_orderstatus', 'label', 'LABEL'), ('orders', 'o_totalprice', '', 'ALLOWED_AT_T'), ('orders', 'o_comment', 'free text', 'NEVER_USE'), ('lineitem', 'l_shipdate', '', 'HISTORICAL_OK'), ('nation', 'n_name', '', 'STATIC'), ('events', 'props', '', 'REVIEW')) v(table_name, column_name, note, verdict)
+_LABELS = {("orders", "o_orderstatus"): ("label", "known only after the order ends")}
+_NEVER = {("lineitem", "l_returnflag"): "outcome after the order", ("lineitem", "l_linestatus"): "outcome after the order"}
+_AT_T = {("orders", "o_totalprice"), ("orders", "o_orderpriority"), ("lineitem", "l_quantity")}
+_HISTORICAL, _STATIC, _ENCOUNTER = {"l_shipdate", "value", "c_acctbal"}, {"nation", "region"}, {"orders"}
+_TABLES = ("customer", "events", "lineitem", "nation", "orders", "region")
+
+
+def _text(*values: str) -> str:
+    return ", ".join(f"'{v}'" for v in sorted(values))
+
+
+@register("column_verdicts", f"""
+WITH c AS (SELECT DISTINCT table_name, column_name FROM information_schema.columns WHERE table_name IN ({_text(*_TABLES)})),
+rules AS (
+  SELECT * FROM (VALUES {", ".join(f"('{t}', '{c}', 1, '{v}', '{why}')" for (t, c), (v, why) in sorted(_LABELS.items()))}, {", ".join(f"('{t}', '{c}', 2, 'history only', '{why}')" for (t, c), why in sorted(_NEVER.items()))}, {", ".join(f"('{t}', '{c}', 3, 'available', 'recorded during the encounter')" for t, c in sorted(_AT_T))}) v(table_name, column_name, place, verdict, reason)
+  UNION ALL SELECT table_name, column_name, 4, 'history only', 'dated on or before the predicted instant' FROM c WHERE column_name IN ({_text(*_HISTORICAL)})
+  UNION ALL SELECT table_name, column_name, 5, 'available', 'static reference' FROM c WHERE table_name IN ({_text(*_STATIC)})
+  UNION ALL SELECT table_name, column_name, 6, 'available', 'recorded at or before the instant' FROM c WHERE table_name IN ({_text(*_ENCOUNTER)})
+  UNION ALL SELECT table_name, column_name, 7, 'conditional', 'only if strictly before the instant' FROM c
+)
+SELECT table_name, column_name, arg_min(verdict, place) AS verdict, arg_min(reason, place) AS reason FROM c JOIN rules USING (table_name, column_name) GROUP BY ALL
 """)
 def column_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.createDataFrame([("orders", "o_orderstatus", "label"), ("orders", "o_totalprice", ""), ("orders", "o_comment", "free text"), ("lineitem", "l_shipdate", ""), ("nation", "n_name", ""), ("events", "props", "")], "table_name string, column_name string, note string")
-    return encode.verdicts(columns, labels=["o_orderstatus"], never=["o_comment"], at_t=["o_totalprice", "o_orderstatus"], historical=["lineitem"], static=["nation", "region"])
+    found = [(t, c) for t in _TABLES for c in table(spark, sf_dir, t).columns]
+    return encode.verdicts(spark.createDataFrame(found, "table_name string, column_name string"), _LABELS, _NEVER, _AT_T, _HISTORICAL, _STATIC, _ENCOUNTER)
+
+
+@register("condition_counts", """
+WITH s AS (SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 'None' WHEN p_partkey % 7 > 0 THEN replace(p_name, ' ', '+') END AS status FROM part)
+SELECT p_partkey, CASE WHEN lower(status) = 'none' THEN 0 ELSE coalesce(len(string_split(status, '+')), 1) END::BIGINT AS conditions FROM s
+""")
+def condition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("p_retailprice") < 1000, "None").when(F.col("p_partkey") % 7 > 0, F.replace("p_name", F.lit(" "), F.lit("+")))
+    return table(spark, sf_dir, "part").select("p_partkey", encode.condition_count(status).alias("conditions"))

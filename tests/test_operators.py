@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meridian.functions import identity
-from meridian.operators import asof, encode, linkage, metrics, profile, queue
+from meridian.operators import asof, encode, linkage, metrics, profile, queue, ranks
 
 
 def one(frame, column):
@@ -64,7 +64,7 @@ def test_latest_and_latest_k(spark):
     events = spark.createDataFrame([("k", day(n), n) for n in (1, 2, 3, 4, 5, 6)], "k string, t timestamp, v int")
     got = {r["id"]: r["latest"] and r["latest"]["v"] for r in asof.latest(spine, events, "k", "t", ["v"]).collect()}
     assert got == {1: 4, 2: None, 3: None}
-    last = asof.latest_k(spine, events, "k", "t", ["v"], ["v"], 3, "id").groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("v")).collect()
+    last = asof.latest_k(spine, events, "k", "t", ["v"], ["v"], 3).groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("v")).collect()
     assert {r["id"]: r["v"] for r in last} == {1: [2, 3, 4]}
 
 
@@ -96,7 +96,66 @@ def test_ranking_metrics(spark):
 
 def test_tier_ranks_are_at_least_one(spark):
     rows = spark.createDataFrame([(i, float(i)) for i in range(3)], "id int, s double")
-    assert tuple(queue.cut_offs(rows, "s", "id").first()) == (2.0, 2.0, 2.0)
+    assert tuple(queue.cut_offs(rows, "s").first()) == (2.0, 2.0, 2.0)
+
+
+def test_quantiles_and_running_totals(spark):
+    values = [3.0, -1.5, 0.0, 0.0, 1e300, float("inf"), float("-inf"), 2.0, None, float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for share in (0.0, 0.3, 0.5, 0.75):
+        assert ranks.quantile(rows.where("v < 1e200 AND v > -1e200"), "v", share, "q").first()["q"] == rows.where("v < 1e200 AND v > -1e200").agg(F.percentile("v", share)).first()[0]
+    assert ranks.quantile(rows.where("v IS NULL"), "v", 0.5, "q").first()["q"] is None
+    counts = rows.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    got = [r["run_n"] for r in ranks.running(counts, "v", ["n"]).orderBy("v").collect()]
+    assert got == [1, 2, 4, 5, 6, 7, 8, 9]
+    assert [r["run_n"] for r in ranks.running(counts, "v", ["n"], descending=True).orderBy(F.desc("v")).collect()] == [1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_top_share_breaks_ties_by_key(spark):
+    rows = spark.createDataFrame([(i, 1.0 if i < 2 else 0.5, int(i in (0, 2, 9))) for i in range(10)] + [(10, None, 1)], "k long, s double, y int")
+    got = {r["share"]: (r["k"], r["precision"], r["recall"]) for r in metrics.at_top(rows, F.col("s"), F.col("y"), "k", [0.1, 0.3, 1.0]).collect()}
+    assert got == {0.1: (1, 1.0, 0.25), 0.3: (3, pytest.approx(2 / 3), 0.5), 1.0: (11, pytest.approx(4 / 11), 1.0)}
+
+
+def test_confusion_has_every_class(spark):
+    rows = spark.createDataFrame([("a", "b"), ("a", "a"), (None, "a")], "y string, p string")
+    assert [tuple(r) for r in metrics.confusion(rows, "y", "p", ["a", "b", "c"]).collect()] == [("a", 1, 1, 0), ("b", 0, 0, 0), ("c", 0, 0, 0)]
+
+
+def test_verdicts_go_by_table_and_column(spark):
+    rows = spark.createDataFrame([("x", "y"), ("z", "y"), ("z", "v"), ("x", "v"), ("s", "y"), ("e", "y"), ("z", "q")], "table_name string, column_name string")
+    got = {(r[0], r[1]): r[2] for r in encode.verdicts(rows, {("x", "y"): ("label", "")}, {("x", "v"): ""}, {("z", "y")}, {"v"}, {"s"}, {"e"}).collect()}
+    assert got == {("x", "y"): "label", ("z", "y"): "available", ("z", "v"): "history only", ("x", "v"): "history only", ("s", "y"): "available", ("e", "y"): "available", ("z", "q"): "conditional"}
+
+
+def test_strict_cast_and_condition_count(spark):
+    rows = spark.createDataFrame([("1.5", "A+B"), (None, "NONE"), ("2", None)], "a string, c string")
+    assert [tuple(r) for r in rows.select(encode.strict_number(F.col("a")), encode.condition_count(F.col("c"))).collect()] == [(1.5, 2), (None, 0), (2.0, 1)]
+    with pytest.raises(Exception, match="not a number: x"):
+        spark.createDataFrame([("x",)], "a string").select(encode.strict_number(F.col("a"))).collect()
+
+
+def test_inclusive_latest_k(spark):
+    spine = spark.createDataFrame([(1, "k", day(2))], "id int, k string, t timestamp")
+    events = spark.createDataFrame([("k", day(n), n) for n in (1, 2, 3)], "k string, t timestamp, v int")
+    for inclusive, want in ((False, [1]), (True, [1, 2])):
+        assert sorted(r["v"] for r in asof.latest_k(spine, events, "k", "t", ["v"], ["v"], 3, inclusive).collect()) == want
+
+
+def test_compare_refit_and_reload(spark, tmp_path):
+    from meridian.operators import models
+    from meridian.sources import files
+
+    rows = spark.createDataFrame([(i, float(i % 4 > 1), float(i % 4), float(i % 7)) for i in range(200)], "id int, label double, a double, b double")
+    kinds = {"logistic": [{"C": 0.5}], "depthwise": [{"max_depth": d, "maxIter": 2} for d in (1, 2)], "leafwise": [{"maxIter": 2}]}
+    found = models.compare(rows, rows, ["a", "b"], kinds, (rows, rows))
+    ap = [m.first()["average_precision"] for _, _, m in found]
+    assert [n for n, _, _ in found] == ["prevalence", *kinds] and ap[0] == pytest.approx(0.5) and min(ap[1:]) == pytest.approx(1.0)
+    model = models.refit(rows, ["a", "b"], "logistic", {"C": 0.5})
+    files.save_model(model, f"{tmp_path}/m", {"kind": "logistic"})
+    back, about = files.load_model(spark, f"{tmp_path}/m")
+    assert about == {"kind": "logistic"}
+    assert [r["p"] for r in models.score(back, rows).orderBy("id").collect()] == [r["p"] for r in models.score(model, rows).orderBy("id").collect()]
 
 
 def test_masked_argmax(spark):
