@@ -1,10 +1,13 @@
 """Unit cases of the relational and analytic operators."""
 
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from meridian.config import DEFAULT
 from meridian.functions import identity
 from meridian.operators import asof, encode, linkage, metrics, profile, queue, ranks
 
@@ -49,6 +52,42 @@ def test_crosswalk_has_one_row_per_source_id(spark):
     assert [tuple(r) for r in linkage.crosswalk(rows).collect()] == [("s", "1", 11, "high")]
 
 
+def registers(spark, copies=1, seed=5):
+    """Records and entities of few distinct values, some of them missing; every entity ``copies`` times under other ids."""
+    import random
+
+    deal = random.Random(seed)
+    names = ["mohan basha", "mohn basha", "anitha rao", "anita rao", "rao", "mo li", "", None, "anitha anitha", "basha mohan rao"]
+    phones, villages = ["1234", "5678", "0000", None, ""], ["kondapur", "kondapurr", "vil", "", None]
+    pick = lambda *more: (deal.choice(names), *more, deal.choice(villages), deal.choice(["f", "m", None]), deal.choice([30, 31, 34, 60, None]))
+    records = spark.createDataFrame([("s", str(i), *pick(deal.choice(["1234", "x5678", "9999", None]))) for i in range(150)], "source_system string, source_id string, name string, mobile string, village string, gender string, age int")
+    rows = [pick(deal.choice(phones)) for _ in range(80)]
+    entities = spark.createDataFrame([(i + 1000 * k, *row) for k in range(copies) for i, row in enumerate(rows)], "entity_id long, name string, phone4 string, village string, gender string, age int")
+    return records, entities
+
+
+@pytest.mark.parametrize(("cap", "weights"), [(300, (0.45, 0.35, 0.12, 0.05, 0.03)), (5, (0.45, 0.1, 0.1, 0.1, 0.1)), (0, (0.2, 0.1, 0.1, 0.3, -0.2))])
+def test_best_is_that_of_all_pairs(spark, cap, weights):
+    records, entities = registers(spark, copies=2)
+    settings = replace(DEFAULT, candidate_cap=cap, weights=weights)
+    order = Window.partitionBy("identity").orderBy(F.desc("score"), "entity_id")
+    want = linkage.scored(records, entities, settings).select("identity", "entity_id", "score", F.row_number().over(order).alias("rn"), F.coalesce(F.lead("score").over(order), F.lit(0.0)).alias("runner_up")).where("rn = 1").drop("rn")
+    found = linkage.best(records, entities, settings).select("identity", "entity_id", "score", "runner_up")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_best_compares_distinct_values(spark):
+    met = []
+    for copies in (2, 6):
+        records, entities = registers(spark, copies)
+        ids, known = linkage._sides(records, entities)
+        routed, (by_phone, by_name) = linkage._routed(ids, known), linkage._placed(known)
+        questions = linkage._questions(routed, known)
+        pairs = linkage._phone_pairs(questions, by_phone).unionByName(linkage._name_pairs(questions, known, by_name, 10000))
+        met.append((pairs.count(), linkage._hopeful(pairs, DEFAULT).count()))
+    assert met[0] == met[1] and met[0][1] < met[0][0]
+
+
 def day(n):
     return datetime(2024, 1, n)
 
