@@ -88,6 +88,14 @@ def test_best_compares_distinct_values(spark):
     assert met[0] == met[1] and met[0][1] < met[0][0]
 
 
+def test_counts_of_candidates(spark):
+    for cap in (0, 20, 300):
+        records, entities = registers(spark, copies=2)
+        ids, known = linkage._sides(records, entities)
+        want = linkage.candidates(ids, known, cap).groupBy("identity", "via").agg(F.count(F.lit(1)).alias("candidates"))
+        assert sorted(map(tuple, linkage.counts(ids, known, cap).collect())) == sorted(map(tuple, want.collect()))
+
+
 def day(n):
     return datetime(2024, 1, n)
 
