@@ -96,6 +96,20 @@ def test_counts_of_candidates(spark):
         assert sorted(map(tuple, linkage.counts(ids, known, cap).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pairs_by_phone_in_lists(spark, monkeypatch):
+    columns = ["identity", F.round("name_s", 6), F.round("village_s", 6), "age_s"]
+    rows = []
+    for copies in (1, 4):
+        monkeypatch.setattr(linkage, "IDS", 2)
+        records, entities = registers(spark, copies)
+        found = linkage.by_phone(records, entities)
+        want = linkage.scored(records, entities).where("via = 'phone4'").select(*columns, "entity_id")
+        assert sorted(map(tuple, found.select(*columns, F.explode("entity_ids")).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        monkeypatch.setattr(linkage, "IDS", 4096)
+        rows.append(linkage.by_phone(records, entities).count())
+    assert rows[0] == rows[1] > 0
+
+
 def day(n):
     return datetime(2024, 1, n)
 
