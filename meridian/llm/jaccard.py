@@ -39,6 +39,8 @@ FEW, BLOCK, CHUNK = 16, 512, 4096
 SENT_IDS = 4_000_000
 #: Rounds in which members are compared with leaders only.
 ROUNDS = 1
+#: Bytes of text whose shingles are hashed, or whose sets are sent on, at once.
+PART = 2 << 20
 #: Parts in which overlaps are counted.
 PARTS = 4
 
@@ -62,7 +64,17 @@ def _unmix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and how many each has."""
+    """Sorted distinct shingle hashes of each text, one after the other, and how many each has.
+
+    Texts are worked on ``PART`` bytes at a time: what hashing and sorting need meanwhile is many times a text's size."""
+    parts = [_shingle_sets(batch.column(0), n) for batch in _stretches([pa.RecordBatch.from_arrays([texts], ["text"])], 0, PART)]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, sizes = zip(*parts, strict=True)
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
+def _shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts, lower=True)
     per = np.where(words.counts >= n, words.counts - n + 1, np.minimum(words.counts, 1))
     rows = np.repeat(np.arange(len(per)), per)
@@ -261,7 +273,7 @@ def _sets(rows: DataFrame, n: int, t: float) -> DataFrame:
     version: the set's identity, as rows that share an id may have different sets. Part -1 - k holds the outline in size class k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _stretches(batches, 1):
+        for batch in _stretches(batches, 1, PART):
             hashes, sizes = shingle_sets(batch.column(1), n)
             out, at = [], 0
             for doc, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):

@@ -90,6 +90,26 @@ def test_jaccard_alike_sets_share_an_announcement():
                 assert any(len(np.intersect1d(_announce(a, k, 0.8), _announce(b, k, 0.8))) for k in set(_octaves(n, 0.8)) & set(_octaves(m, 0.8))), (n, m)
 
 
+def test_jaccard_sets_are_made_in_parts(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from meridian.llm import jaccard
+
+    texts = pa.array([" ".join(f"w{(i * 7919 + k * 31) % 5000}" for k in range(1500)) for i in range(900)])
+    tracemalloc.start()
+    hashes, sizes = jaccard.shingle_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * texts.nbytes
+    monkeypatch.setattr(jaccard, "PART", 20_000)
+    again, counts = jaccard.shingle_sets(texts, 5)
+    assert (hashes == again).all() and (sizes == counts).all() and sizes.sum() == len(hashes)
+    assert [len(x) for x in jaccard.shingle_sets(pa.array([], pa.string()), 5)] == [0, 0]
+    assert jaccard.shingle_sets(pa.array([None, "a b", ""]), 5)[1].tolist() == [0, 1, 0]
+
+
 def test_jaccard_short_near_copies(spark):
     """Pairs of 4 and 5 shingles: a text and the same with a word more."""
     from meridian.llm.jaccard import near_copies
