@@ -219,6 +219,20 @@ def test_compare_refit_and_reload(spark, tmp_path):
     assert [r["p"] for r in models.score(back, rows).orderBy("id").collect()] == [r["p"] for r in models.score(model, rows).orderBy("id").collect()]
 
 
+def test_orders_are_joined_without_broadcast(spark, monkeypatch):
+    from meridian.plans import learning
+
+    tables = {
+        "orders": spark.createDataFrame([(1, day(1), "F", 100.0, "1-URGENT", 7), (2, day(2), "O", 200.0, "5-LOW", 8), (3, day(3), "O", 300.0, "2-HIGH", None)], "o_orderkey long, o_orderdate timestamp, o_orderstatus string, o_totalprice double, o_orderpriority string, o_custkey long"),
+        "customer": spark.createDataFrame([(7, 1000.0)], "c_custkey long, c_acctbal double"),
+    }
+    monkeypatch.setattr(learning, "table", lambda spark, sf_dir, name: tables[name])
+    rows = learning._orders(spark, "")
+    assert {r["o_orderkey"]: r["balance"] for r in rows.collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_masked_argmax(spark):
     rows = spark.createDataFrame([([0.2, 0.5, 0.5], [True, True, True]), ([0.9, 0.1, 0.0], [False, True, True]), ([1.0, 1.0, 1.0], [False] * 3)], "p array<double>, m array<boolean>")
     found = [r[0] for r in rows.select(queue.masked_argmax(F.col("p"), F.col("m"), ["a", "b", "c"], "none")).collect()]
