@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -70,6 +71,15 @@ def evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     return metrics.ranking(scored, p, y).crossJoin(metrics.brier(scored, F.col("p"), y)).crossJoin(metrics.at_threshold(scored, F.col("p") >= 0.5, y))
 
 
+def judge(scored: DataFrame, label: str = "label") -> DataFrame:
+    """``evaluate``, computed now: the model scores each row once, and scores and labels are kept meanwhile."""
+    kept = scored.select("p", label).persist(StorageLevel.MEMORY_AND_DISK)
+    found = evaluate(kept, label)
+    out = scored.sparkSession.createDataFrame(found.collect(), found.schema)
+    kept.unpersist()
+    return out
+
+
 def average_precision(scored: DataFrame, label: str = "label") -> float:
     return metrics.ranking(scored, F.round("p", 6), F.col(label)).first()["average_precision"] or 0.0
 
@@ -89,10 +99,10 @@ def compare(train: DataFrame, valid: DataFrame, features: list[str], candidates:
 
     Where a kind has several settings, those with the best average precision on ``inner`` (train, valid) are taken."""
     rate = train.agg(F.avg("label").alias("p"))
-    found = [("prevalence", {}, evaluate(valid.crossJoin(F.broadcast(rate))))]
+    found = [("prevalence", {}, judge(valid.crossJoin(F.broadcast(rate))))]
     for kind, grid in candidates.items():
         settings = grid[0] if len(grid) == 1 else tune(*inner, features, kind, grid)[0]
-        found.append((kind, settings, evaluate(score(fit(train, features, kind, **settings), valid))))
+        found.append((kind, settings, judge(score(fit(train, features, kind, **settings), valid))))
     return found
 
 

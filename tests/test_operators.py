@@ -233,6 +233,21 @@ def test_orders_are_joined_without_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_judging_scores_each_row_once(spark):
+    from meridian.operators import models
+
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scored_rows.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(0.9, 1.0), (0.4, 0.0), (0.6, 0.0), (0.7, 1.0)], "p double, label double")
+    found = models.judge(rows.mapInArrow(seen, rows.schema)).first()
+    assert found == models.evaluate(rows).first() and scored_rows.value == 4
+
+
 def test_masked_argmax(spark):
     rows = spark.createDataFrame([([0.2, 0.5, 0.5], [True, True, True]), ([0.9, 0.1, 0.0], [False, True, True]), ([1.0, 1.0, 1.0], [False] * 3)], "p array<double>, m array<boolean>")
     found = [r[0] for r in rows.select(queue.masked_argmax(F.col("p"), F.col("m"), ["a", "b", "c"], "none")).collect()]
