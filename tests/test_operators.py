@@ -88,6 +88,23 @@ def test_best_compares_distinct_values(spark):
     assert met[0] == met[1] and met[0][1] < met[0][0]
 
 
+def test_best_meets_near_ages_and_equal_genders(spark):
+    """Many genders and ages in one group: an identity meets those near its own, with the same best two; texts are normalised once."""
+    schema = "entity_id long, name string, phone4 string, village string, gender string, age int"
+    records = spark.createDataFrame([("s", str(i), "anitha rao", "1234", "vil", g, a) for i, (g, a) in enumerate([("g3", 7), ("g0", None), (None, 29), ("other", 99)])], "source_system string, source_id string, name string, mobile string, village string, gender string, age int")
+    met = []
+    for n in (12, 24):
+        entities = spark.createDataFrame([(a * n + g, "anitha rao", "1234", "vil", f"g{g}", a) for g in range(n) for a in range(n)], schema)
+        ids, known = linkage._sides(records, entities)
+        placed = linkage._numbered(linkage._placed(known)[0])
+        met.append(linkage._met(ids.crossJoin(placed.select("gid").distinct()), placed, DEFAULT).count())
+        order = Window.partitionBy("identity").orderBy(F.desc("score"), "entity_id")
+        want = linkage.scored(records, entities).select("identity", "entity_id", "score", F.lead("score").over(order).alias("runner_up"), F.row_number().over(order).alias("rn")).where("rn = 1").drop("rn")
+        assert sorted(map(tuple, linkage.best(records, entities).select("identity", "entity_id", "score", "runner_up").collect())) == sorted(map(tuple, want.collect()))
+    assert max(met) <= 4 * (4 + 4 * 3 * linkage.BUCKET)
+    assert "regexp" not in linkage.audit(records, entities)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_counts_of_candidates(spark):
     for cap in (0, 20, 300):
         records, entities = registers(spark, copies=2)
