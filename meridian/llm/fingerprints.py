@@ -32,14 +32,15 @@ def _units(text: str) -> str:
     return rf"array_distinct(transform(filter(split(regexp_replace({text}, '([.!?]) ', '$1\n'), '\n'), u -> u <> ''), u -> {entry}))"
 
 
-def _place(entry: str, j: str, width: int) -> str:
-    """The cell of subtable j: ten bits of the digest for each subtable."""
-    return f"CAST(shiftrightunsigned({entry}, 16 + 10 * CAST({j} AS INT)) % 1024L % {width}L AS INT)"
+def _mask(entry: str, width: int) -> str:
+    """One bit for each of the entry's three cells; ten bits of the digest tell its cell of a subtable."""
+    return "(" + " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned({entry}, {16 + 10 * j}) % 1024L % {width}L AS INT) + {j * width})" for j in range(3)) + ")"
 
 
 def _cells(units: str, width: int) -> str:
     zero = "named_struct('n', 0, 'x', 0L)"
-    return f"transform(sequence(0, {3 * width - 1}), c -> aggregate(filter({units}, e -> {_place('e', f'c div {width}', width)} = c % {width}), {zero}, (a, e) -> named_struct('n', a.n + 1, 'x', a.x ^ e)))"
+    masked = f"transform({units}, e -> named_struct('x', e, 'm', {_mask('e', width)}))"
+    return _let("masked", masked, f"transform(sequence(0, {3 * width - 1}), c -> aggregate(filter(masked, u -> getbit(u.m, c) = 1Y), {zero}, (a, u) -> named_struct('n', a.n + 1, 'x', a.x ^ u.x)))")
 
 
 def _subtract(a: str, b: str) -> str:
@@ -49,9 +50,9 @@ def _subtract(a: str, b: str) -> str:
 def _peel(cells: str, width: int) -> str:
     """How many entries differ, or null where peeling stops before all cells are empty."""
     key = "shiftrightunsigned(d.x, 16)"
-    pure = f"abs(d.n) = 1 AND d.x > 0 AND d.x % 65536L = (({key} % 65521L) * ({key} % 32749L)) % 65536L AND {_place('d.x', f'i div {width}', width)} = i % {width}"
-    keys = f"array_distinct(filter(transform(s.cells, (d, i) -> CASE WHEN {pure} THEN d END), d -> d IS NOT NULL))"
-    less = f"transform(s.cells, (d, i) -> aggregate(filter(keys, k -> {_place('k.x', f'i div {width}', width)} = i % {width}), d, (a, k) -> named_struct('n', a.n - k.n, 'x', a.x ^ k.x)))"
+    pure = f"abs(d.n) = 1 AND d.x > 0 AND d.x % 65536L = (({key} % 65521L) * ({key} % 32749L)) % 65536L AND getbit({_mask('d.x', width)}, i) = 1Y"
+    keys = f"array_distinct(filter(transform(s.cells, (d, i) -> CASE WHEN {pure} THEN named_struct('n', d.n, 'x', d.x, 'm', {_mask('d.x', width)}) END), d -> d IS NOT NULL))"
+    less = f"transform(s.cells, (d, i) -> aggregate(filter(keys, k -> getbit(k.m, i) = 1Y), d, (a, k) -> named_struct('n', a.n - k.n, 'x', a.x ^ k.x)))"
     step = _let("keys", keys, f"CASE WHEN size(keys) = 0 THEN named_struct('cells', s.cells, 'found', s.found, 'over', true) ELSE named_struct('cells', {less}, 'found', s.found + size(keys), 'over', false) END")
     start = f"named_struct('cells', {cells}, 'found', 0, 'over', false)"
     return f"aggregate(sequence(1, {3 * width}), {start}, (s, r) -> CASE WHEN s.over THEN s ELSE {step} END, s -> CASE WHEN forall(s.cells, d -> d.n = 0 AND d.x = 0L) THEN s.found END)"

@@ -245,6 +245,29 @@ def test_mixing_meets_targets(spark, weight):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_cells_are_placed_once_per_unit(spark):
+    """Cells equal those of a plain model; a unit's three cells are worked out before the cells are gone through."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from meridian.llm.fingerprints import WIDER, WIDTH, _cells
+
+    deal = random.Random(3)
+    units = [deal.randrange(1 << 60) for _ in range(40)]
+    rows = spark.createDataFrame([(units,), ([],)], "u array<bigint>")
+    for width in (WIDTH, WIDER):
+        want = [[0, 0] for _ in range(3 * width)]
+        for e in units:
+            for j in range(3):
+                cell = want[j * width + (e >> (16 + 10 * j)) % 1024 % width]
+                cell[0], cell[1] = cell[0] + 1, cell[1] ^ e
+        full, empty = (r["c"] for r in rows.select(F.expr(_cells("u", width)).alias("c")).collect())
+        assert [[d["n"], d["x"]] for d in full] == want and {(d["n"], d["x"]) for d in empty} == {(0, 0)}
+        place, walk = _cells("u", width).split("sequence(")[0], _cells("u", width).split("sequence(")[1]
+        assert (place + walk).count("shiftrightunsigned") == 3 and "shiftrightunsigned" not in walk.split(", c ->")[1]
+
+
 def test_fingerprints_peel_to_the_exact_difference(spark):
     from meridian.llm.fingerprints import fingerprint_edits, likeness
 
