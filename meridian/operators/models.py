@@ -1,4 +1,4 @@
-"""Classifiers over MLlib, tuned and compared under temporal splits, judged by the exact metrics."""
+"""Classifiers over MLlib or ``celltrees``, tuned and compared under temporal splits, judged by the exact metrics."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.operators import metrics
+from meridian.operators import celltrees, metrics
 
 
 def temporal_split(rows: DataFrame, at: str, train_end: str, valid_start: str) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +94,55 @@ def tune(train: DataFrame, valid: DataFrame, features: list[str], kind: str, gri
     return best
 
 
+def _through(grid: list[dict], kind: str) -> list[dict]:
+    """Settings for MLlib, with what ``celltrees`` takes for granted; it grows trees to 30 levels at most."""
+    full = [celltrees.DEFAULTS.get(kind, {}) | s for s in grid]
+    return [s | {"maxDepth": 30} if s.get("maxDepth", 30) is None else s for s in full]
+
+
+def predict(train: DataFrame, rows: DataFrame, features: list[str], kind: str, settings: dict) -> DataFrame:
+    """Adds ``p``, the probability of class 1 by a model of ``train``; trees are grown over cells where bins bound these."""
+    if kind in celltrees.KINDS and (found := celltrees.cells(train, rows, features)) is not None:
+        return celltrees.score(rows, found[0], celltrees.fits(rows.sparkSession, [(found[0], kind, settings)])[0])
+    return score(fit(train, features, kind, **_through([settings], kind)[0]), rows)
+
+
+def _compare_trees(train: DataFrame, valid: DataFrame, features: list[str], candidates: dict[str, list[dict]], inner: tuple[DataFrame, DataFrame]) -> dict[str, tuple[dict, DataFrame]]:
+    """Of each kind of trees: the settings taken and ``valid`` with ``p``. Nothing where bins make too many cells.
+
+    All models whose settings are known are fitted at once."""
+    spark, tuned = train.sparkSession, {k: g for k, g in candidates.items() if len(g) > 1}
+    outer = celltrees.cells(train, valid, features) if candidates else None
+    within = celltrees.cells(*inner, features) if outer and tuned else None
+    if outer is None or tuned and within is None:
+        return {}
+    settled = {k: g[0] for k, g in candidates.items() if len(g) == 1}
+    asked = [(k, s) for k, g in tuned.items() for s in g]
+    found = celltrees.fits(spark, [(within[0], k, s) for k, s in asked] + [(outer[0], k, s) for k, s in settled.items()])
+    p, best = dict(zip(settled, found[len(asked) :])), {}
+    for (kind, settings), one in zip(asked, found):
+        ap = celltrees.average_precision(one, *within[1:])
+        if kind not in best or ap > best[kind]:
+            best[kind], settled[kind] = ap, settings
+    p |= dict(zip(tuned, celltrees.fits(spark, [(outer[0], k, settled[k]) for k in tuned])))
+    return {k: (settled[k], celltrees.score(valid, outer[0], p[k])) for k in candidates}
+
+
 def compare(train: DataFrame, valid: DataFrame, features: list[str], candidates: dict[str, list[dict]], inner: tuple[DataFrame, DataFrame]) -> list[tuple[str, dict, DataFrame]]:
     """Of the prevalence in ``train`` and of each kind of model: its name, its settings, and its metrics on ``valid``.
 
     Where a kind has several settings, those with the best average precision on ``inner`` (train, valid) are taken."""
     rate = train.agg(F.avg("label").alias("p"))
     found = [("prevalence", {}, judge(valid.crossJoin(F.broadcast(rate))))]
+    trees = _compare_trees(train, valid, features, {k: g for k, g in candidates.items() if k in celltrees.KINDS}, inner)
     for kind, grid in candidates.items():
-        settings = grid[0] if len(grid) == 1 else tune(*inner, features, kind, grid)[0]
-        found.append((kind, settings, judge(score(fit(train, features, kind, **settings), valid))))
+        if kind in trees:
+            settings, scored = trees[kind]
+        else:
+            through = _through(grid, kind)
+            best = through[0] if len(grid) == 1 else tune(*inner, features, kind, through)[0]
+            settings, scored = grid[through.index(best)], score(fit(train, features, kind, **best), valid)
+        found.append((kind, settings, judge(scored)))
     return found
 
 

@@ -265,6 +265,40 @@ def test_judging_scores_each_row_once(spark):
     assert found == models.evaluate(rows).first() and scored_rows.value == 4
 
 
+def test_trees_grow_over_cells(spark):
+    from meridian.operators import celltrees, models
+
+    rows = spark.createDataFrame([(float(i % 8), float(i % 3), float("nan") if i % 5 == 0 else i / 7, float((i % 8 > 3) == (i % 3 > 0))) for i in range(960)], "a double, b double, c double, label double").persist()
+    features = ["a", "b", "c"]
+    grid, n, pos = celltrees.cells(rows, rows, features)
+    # as many bins as values; where there are more than 32 of these, 32, with the missing ones in the last
+    assert grid.sizes == (8, 3, 32) and grid.n.sum() == n.sum() == 960 and pos.sum() == rows.where("label = 1").count()
+    assert rows.where("isnan(c)").select(F.pmod(grid.number(), F.lit(32))).distinct().collect() == [(31,)]
+    settings = {"forest": {"numTrees": 30, "minInstancesPerNode": 1}, "boosted": {"maxIter": 60, "stepSize": 0.3}, "depthwise": {"maxIter": 40, "stepSize": 0.3}, "leafwise": {"maxIter": 40, "stepSize": 0.3, "min_child_samples": 5}}
+    found = celltrees.fits(spark, [(grid, k, s) for k, s in settings.items()])
+    for p, kind in zip(found, settings):
+        assert celltrees.average_precision(p, n, pos) > 0.99, kind
+        again = models.predict(rows.repartition(3), rows, features, kind, settings[kind])
+        assert again.count() == 960 and models.average_precision(again) == pytest.approx(celltrees.average_precision(p, n, pos), abs=1e-9), kind
+    rows.unpersist()
+
+
+def test_cell_tree_without_limit_ends_in_pure_leaves():
+    import numpy as np
+
+    from meridian.operators import celltrees
+
+    bins = np.stack(np.unravel_index(np.arange(32 * 32), (32, 32))).astype(np.int32)
+    rng = np.random.default_rng(1)
+    label, total, every = rng.integers(0, 2, 1024), rng.integers(1, 1000, 1024).astype(float), np.ones(1024, bool)
+    deep = celltrees.tree(rng, bins, (32, 32), total, label * total, every, 2, 1, None)
+    assert (deep == label).all()
+    flat = celltrees.tree(rng, bins, (32, 32), total, label * total, every, 2, 1, 1)
+    assert len(set(flat)) == 2 and (flat * total).sum() == pytest.approx((label * total).sum())
+    least = celltrees.tree(rng, bins, (32, 32), total, label * total, every, 2, 20000, None)
+    assert min(total[least == v].sum() for v in set(least)) >= 20000
+
+
 def test_masked_argmax(spark):
     rows = spark.createDataFrame([([0.2, 0.5, 0.5], [True, True, True]), ([0.9, 0.1, 0.0], [False, True, True]), ([1.0, 1.0, 1.0], [False] * 3)], "p array<double>, m array<boolean>")
     found = [r[0] for r in rows.select(queue.masked_argmax(F.col("p"), F.col("m"), ["a", "b", "c"], "none")).collect()]
