@@ -265,6 +265,15 @@ def test_judging_scores_each_row_once(spark):
     assert found == models.evaluate(rows).first() and scored_rows.value == 4
 
 
+def test_model_comparison_fits_what_was_surveyed():
+    from meridian.plans import learning
+
+    kinds = learning._CANDIDATES
+    assert [(s["numTrees"], s["maxDepth"]) for s in kinds["forest"]] == [(500, None)] * 3
+    assert [s["maxIter"] for k in ("boosted", "depthwise", "leafwise") for s in kinds[k]] == [300] + [400] * 7
+    assert kinds["boosted"][0]["stepSize"] == 0.05 and kinds["logistic"] == [{"C": 0.5, "maxIter": 2000}]
+
+
 def test_trees_grow_over_cells(spark):
     from meridian.operators import celltrees, models
 
