@@ -127,6 +127,25 @@ def test_pairs_by_phone_in_lists(spark, monkeypatch):
     assert rows[0] == rows[1] > 0
 
 
+def test_pairs_by_phone_normalise_distinct_rows_once(spark, monkeypatch):
+    """Missing and equal-but-for-spelling values; records are read once, and nothing that is read last is normalised."""
+    read, columns = spark.sparkContext.accumulator(0), ["identity", F.round("name_s", 6), F.round("village_s", 6), "age_s"]
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    records = spark.createDataFrame([("s", str(i), n, p, v, None, a) for i, (n, p, v, a) in enumerate([("Mr. Rao Laxman", "XX1234", "Vil.", 7), ("rao laxman", "XX1234", "vil", 7), (None, "XX1234", None, None), ("rao laxmn", "XX1235", "vila", 9), ("x", None, "v", 1), ("x", "99", "v", 1)])], "source_system string, source_id string, name string, mobile string, village string, gender string, age int")
+    entities = spark.createDataFrame([(i, n, p, v, "g", a) for i, (n, p, v, a) in enumerate([("RAO laxman", "1234", "vil", 7), ("rao laxman", "1234", "vil.", 7), ("rao laxman", "1234", "vil.", 7), (None, "1234", None, None), (None, "1234", None, None), ("rao", "1235", "vila", 5), ("y", None, "v", 1), ("y", "", "v", 1)] * 3)], "entity_id long, name string, phone4 string, village string, gender string, age int")
+    monkeypatch.setattr(linkage, "IDS", 2)
+    found = linkage.by_phone(records.mapInArrow(seen, records.schema), entities)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = linkage.scored(records, entities).where("via = 'phone4'").select(*columns, "entity_id")
+    assert sorted(map(tuple, found.select(*columns, F.explode("entity_ids")).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert read.value == records.count()
+
+
 def day(n):
     return datetime(2024, 1, n)
 
